@@ -19,13 +19,14 @@ _ODD = re.compile(r"\s\s|^\s|\s\Z")
 class PartMemo:
     """``one(text)`` returns the ids of a text as little-endian unsigned 32-bit integers.
 
-    ``whole`` encodes a text without help.  The memo holds at most about ``memo`` parts of at most 64 characters;
-    then it starts anew.
+    ``whole`` encodes a text without help.  The memo has two generations of at most about ``memo`` parts of at most 64
+    characters: when the young one is full it becomes the old one, and what is used of the old one moves over.
     """
 
-    def __init__(self, added: list[str], memo: int = 500_000):
+    def __init__(self, added: list[str], memo: int = 450_000):
         self._memo, self._added = memo, added
         self._after: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}  # parts by the white space before them
+        self._former: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
         self._marks = {c: self.whole(c) for c in ".,"}
 
     def whole(self, text: str) -> bytes:
@@ -39,25 +40,31 @@ class PartMemo:
         try:
             return list(map(known.__getitem__, parts))
         except KeyError:
-            if len(known) > self._memo:
-                known.clear()
-            new = {p for p in parts if p not in known}
-            once = {p: self.whole(before + p) for p in new if len(p) > 64}
-            new.difference_update(once)
-            marked = [p for p in new if p[-1] in self._marks and p[-2:-1].isalpha()]  # a part ends where letters end
-            new.difference_update(marked)
-            new.update(p[:-1] for p in marked if p[:-1] not in known)
-            if new:
-                self._learn(list(new), before)
-            known.update((p, known[p[:-1]] + self._marks[p[-1]]) for p in marked)
-            return [once[p] if p in once else known[p] for p in parts]
+            pass
+        if len(known) > self._memo:
+            self._former[before], known = known, {}
+            self._after[before] = known
+        former = self._former[before]
+        new = set(parts).difference(known)
+        again = [p for p in new if p in former]
+        known.update(zip(again, map(former.__getitem__, again), strict=True))
+        new.difference_update(again)
+        once = {p: self.whole(before + p) for p in new if len(p) > 64}
+        new.difference_update(once)
+        marked = [p for p in new if p[-1] in self._marks and p[-2:-1].isalpha()]  # a part ends where letters end
+        new.difference_update(marked)
+        new.update(p[:-1] for p in marked if p[:-1] not in known)
+        if new:
+            self._learn(list(new), before)
+        known.update((p, known[p[:-1]] + self._marks[p[-1]]) for p in marked)
+        return [once[p] if p in once else known[p] for p in parts] if once else list(map(known.__getitem__, parts))
 
     def one(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(a in text for a in self._added):
             return self.whole(text)
-        if _ODD.search(text):
+        if " ".join(text.split()) != text.replace("\n", " ") and _ODD.search(text):
             return b"".join(self._loose(text))
         first, rest = [], []
         for line in text.split("\n"):
@@ -86,7 +93,7 @@ class PartMemo:
 class Encoder(PartMemo):
     """Whole texts and unknown parts by the ``tokenizers`` library."""
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 450_000):
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
