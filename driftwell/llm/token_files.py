@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import binary_list, pieces
@@ -68,10 +68,10 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
 def with_starts(tokens: DataFrame) -> DataFrame:
     """Adds ``start``: all ids before the document, from the counts in the files (one total for each file)."""
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    # One row for each file: its number of rows is the number of tasks that wrote, not of documents.
-    sums = totals.select(F.expr("sort_array(collect_list(struct(part, total)) over ())").alias("all"), "part")
-    before = sums.select("part", F.expr("aggregate(filter(all, x -> x.part < part), 0L, (s, x) -> s + x.total)").alias("before"))
-    return tokens.join(before, "part").withColumn("start", F.col("before") + F.col("first")).drop("before")
+    # A row for each file: as many as tasks wrote, however many documents there are, so one window and a broadcast will do.
+    so_far = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("part", F.coalesce(F.sum("total").over(so_far), F.lit(0)).alias("before"))
+    return tokens.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("first")).drop("before")
 
 
 def ids_crc32(tokens: DataFrame, keep: list[str]) -> DataFrame:

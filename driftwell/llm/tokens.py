@@ -23,10 +23,11 @@ class PartMemo:
     characters: when the young one is full it becomes the old one, and what is used of the old one moves over.
     """
 
-    def __init__(self, added: list[str], memo: int = 450_000):
+    def __init__(self, added: list[str], memo: int = 600_000):
         self._memo, self._added = memo, added
         self._after: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}  # parts by the white space before them
         self._former: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
+        self._newline = self.whole("\n")
         self._marks = {c: self.whole(c) for c in ".,"}
 
     def whole(self, text: str) -> bytes:
@@ -71,11 +72,11 @@ class PartMemo:
             word, *words = line.split(" ")
             first.append(word)
             rest.append(words)
-        head, *heads = first
         ids = self._parts([w for words in rest for w in words], " ")
-        out, at = [self.whole(head)], len(rest[0])
-        out += ids[:at]
-        for lead, words in zip(self._parts(heads, "\n"), rest[1:], strict=True):
+        leads = self._parts(first, "\n")
+        leads[0] = leads[0][len(self._newline) :]  # nothing stands before the first line
+        out, at = [], 0
+        for lead, words in zip(leads, rest, strict=True):
             out.append(lead)
             out += ids[at : at + len(words)]
             at += len(words)
@@ -93,7 +94,7 @@ class PartMemo:
 class Encoder(PartMemo):
     """Whole texts and unknown parts by the ``tokenizers`` library."""
 
-    def __init__(self, path: str, memo: int = 450_000):
+    def __init__(self, path: str, memo: int = 600_000):
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
