@@ -29,6 +29,8 @@ from .tokens import PartMemo
 #: The splitting pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLIT = regex.compile(PATTERN)
+#: Two parts that become one if the right letter follows.
+_OPEN = {"'r", "'v", "'l"}
 #: A run that may go on beyond what has been read, by the kind of its last character.
 _RUNS = [regex.compile(x) for x in (r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*", r"\s*")]
 
@@ -152,12 +154,11 @@ def stream_tokens(chunks: Iterable[str], merges: Merges) -> Iterator[int]:
             yield from transducer.feed(held[:stop].encode())
             yield from transducer.finish()
             held, run = held[stop:], None
-        last = None
-        for m in _SPLIT.finditer(held):
-            if last is not None:
-                yield from merges.tokens(last.group().encode())
-            last = m
-        held = last.group() if last else ""
+        parts = _SPLIT.findall(held)
+        open_ = 2 if len(parts) > 1 and "".join(parts[-2:]) in _OPEN else 1
+        for part in parts[:-open_]:
+            yield from merges.tokens(part.encode())
+        held = "".join(parts[-open_:])
         if len(held) > 4096:
             run, transducer = next(r for r in _RUNS if r.match(held[-1]).end()), Transducer(merges)
             yield from transducer.feed(held[:-1].encode())
