@@ -6,13 +6,15 @@ position in 35.  Buckets are named by bucket identifiers of their parts, built b
 the pair of identifiers at i and i+8, i+16, i+32, ... stands for twice the length.
 
 1. Each task buckets the anchors of its documents by (32-gram, all bytes of the windows that the anchor stands for).
-   Of a bucket only the first member goes on, the others are repeats already; so a passage in very many documents
-   is a row a task.
+   Of a bucket only the first member goes on, the others are repeats already and may go to any task; so a passage in
+   very many documents is a row a task.
 2. Anchors are shuffled by their 32-gram and buckets merged: all but the first of a bucket are repeats.  A 32-gram with
    one bucket is done; the first members of several buckets may still share some of their windows.
 3. For those the bytes around the anchor are fetched and the bucket of each 32-gram is refined by sorting on bucket
    pointers of later offsets (8, 16, 32, 64, then the whole window), pointers of one round naming pairs in the next;
-   windows alone in their bucket leave after each round.
+   windows alone in their bucket leave after each round.  A 32-gram with very many buckets (a passage that many
+   documents share, each in other surroundings) is not brought into one task: its windows are bucketed one by one,
+   in each task first, and dealt by window.
 4. Repeated windows are joined to their documents and their bytes cut out.
 """
 
@@ -32,6 +34,8 @@ LENGTH = 100
 _Q = 32
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 4 << 20
+#: Members of a 32-gram beyond which its windows are dealt one by one.
+_WIDE = 1000
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -141,7 +145,7 @@ def _sample(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2 over the anchors of a task, which has all those of a 32-gram; ``again`` null: to be refined."""
+    """Step 2 over the anchors of a task, which has the first members of a 32-gram; ``refine`` 1: by 32-gram, 2: by window."""
     tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
     if not tables:
         return
@@ -153,8 +157,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(head) - 1
     classes = np.bincount(group, weights=new)[group]
     gone = ~new | again[order]
-    refine = ~gone & (classes > 1)
-    at = np.flatnonzero(gone | refine)
+    refine = np.where(~gone & (classes > 1), np.where(classes > _WIDE, 2, 1), 0).astype(np.int8)
+    at = np.flatnonzero(gone | (refine > 0))
     for i in range(0, len(at), 200_000):
         o = order[at[i : i + 200_000]]
         yield pa.RecordBatch.from_arrays(
@@ -199,10 +203,17 @@ def refined(raw: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> np.nd
 
 
 def _refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Step 3 over (gram, id, version, start, around): runs of windows that also start earlier."""
+    """Step 3 over members and single windows: runs of windows that also start earlier."""
 
-    def some(parts: list[pa.Table]) -> pa.RecordBatch:
+    def some(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables(parts)
+        single = t["around"].is_null().to_numpy()
+        if single.any():
+            yield _seen_before(t.filter(pa.array(single)), length)
+        if not single.all():
+            yield members(t.filter(pa.array(~single)))
+
+    def members(t: pa.Table) -> pa.RecordBatch:
         ids, version, start = (t[c].to_numpy() for c in ("id", "version", "start"))
         around = t["around"].to_pylist()
         sizes = np.fromiter(map(len, around), np.int64, len(around))
@@ -231,14 +242,45 @@ def _refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         held.append(t)
         rows += t.num_rows
         if rows >= 20_000:
-            yield some(held)
+            yield from some(held)
             held, rows = [], 0
     if held:
-        yield some(held)
+        yield from some(held)
+
+
+def _seen_before(t: pa.Table, length: int) -> pa.RecordBatch:
+    """Spans of single windows: those marked ``again``, and all but the first of a bucket."""
+    gram, content, ids, version, start, again = (t[c].to_numpy(zero_copy_only=False) for c in ("gram", "content", "id", "version", "start", "again"))
+    order = np.lexsort((start, version, ids, again, content, gram))
+    at = order[~_first(order, gram, content) | again[order].astype(bool)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at], version[at], start[at], start[at] + length)], ["id", "version", "start", "end"])
+
+
+def _single_windows(rows: list[tuple], length: int) -> pa.RecordBatch:
+    """A row for each window of members of wide 32-grams, all but the first of a bucket marked ``again``."""
+    sizes = np.fromiter((len(r[4]) for r in rows), np.int64, len(rows))
+    base = np.cumsum(sizes) - sizes
+    n = sizes - length + 1
+    member = np.repeat(np.arange(len(rows)), n)
+    local = np.arange(len(member)) - np.repeat(np.cumsum(n) - n, n)
+    g = _grams(np.append(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), np.zeros(length, np.uint8)))
+    g16 = _pair(g[:-8], g[8:])
+    g32 = _pair(g16[:-16], g16[16:])
+    g64 = _pair(g32[:-32], g32[32:])
+    w = base[member] + local
+    content = _pair(g64[w], g64[w + length - 64]).view(np.int64)
+    gram, ids, version, start = (np.array([r[k] for r in rows], np.int32 if k == 2 else np.int64)[member] for k in range(4))
+    start = start + local
+    order = np.lexsort((start, version, ids, content, gram))
+    columns = [pa.array(x[order]) for x in (gram, content, ids, version, start)]
+    return pa.RecordBatch.from_arrays(
+        [*columns, pa.nulls(len(order), pa.binary()), pa.array(~_first(order, gram, content))], ["gram", "content", "id", "version", "start", "around", "again"]
+    )
 
 
 _ANCHORS = "gram bigint, content bigint, id bigint, version int, place bigint, again boolean"
-_MERGED = "gram bigint, id bigint, version int, place bigint, refine boolean"
+_MERGED = "gram bigint, id bigint, version int, place bigint, refine tinyint"
+_MEMBERS = "gram bigint, content bigint, id bigint, version int, start bigint, around binary, again boolean"
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -253,30 +295,38 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = partitions(df.sparkSession)
     docs = df.select(_id(id_col), _version(text_col), F.col(text_col).cast("binary").alias("text"))
     merged = written(
-        docs.mapInArrow(lambda b: _sample(b, length), _ANCHORS).repartition(n, "gram").mapInArrow(_merge, _MERGED)
+        docs.mapInArrow(lambda b: _sample(b, length), _ANCHORS).repartition(n, "gram", _anywhere("place")).mapInArrow(_merge, _MERGED)
     )
-    open_ = merged.where("refine").groupBy("id", "version").agg(F.collect_list(F.struct("gram", "place")).alias("places"))
+    open_ = merged.where("refine > 0").groupBy("id", "version").agg(F.collect_list(F.struct("gram", "place", "refine")).alias("places"))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = []
         for b in pieces(batches, 64):
             rows = []
             for i, v, text, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for p in places:
                     at = p["place"] >> 16
                     begin, end = at - (p["place"] >> 8 & 255), at - (p["place"] & 255)
-                    rows.append((p["gram"], i, v, begin, text[begin : end + length]))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gram", "id", "version", "start", "around"])
-
+                    (wide if p["refine"] == 2 else rows).append((p["gram"], i, v, begin, text[begin : end + length]))
+            if rows:
+                gram, ids, version, start, text = zip(*rows, strict=True)
+                columns = [gram, [0] * len(rows), ids, version, start, text, [False] * len(rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, fields, strict=True)], names)
+            if len(wide) >= 8000:
+                yield _single_windows(wide, length)
+                wide = []
+        if wide:
+            yield _single_windows(wide, length)
+
+    names = [x.split(" ")[0] for x in _MEMBERS.split(", ")]
+    fields = pa.schema(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()), strict=True))
     members = (
-        docs.join(open_, ["id", "version"])
-        .mapInArrow(around, "gram bigint, id bigint, version int, start bigint, around binary")
-        .repartition(n, "gram").sortWithinPartitions("gram")
+        docs.join(open_, ["id", "version"]).mapInArrow(around, _MEMBERS)
+        .repartition(n, "gram", "content", _anywhere("start")).sortWithinPartitions("gram")
     )
     shared = members.mapInArrow(lambda b: _refine(b, length), "id bigint, version int, start bigint, end bigint")
     at = F.shiftright("place", 16)
-    whole = merged.where("not refine").select(
+    whole = merged.where("refine = 0").select(
         "id", "version", (at - F.shiftright("place", 8).bitwiseAND(F.lit(255))).alias("start"), (at - F.col("place").bitwiseAND(F.lit(255)) + length).alias("end")
     )
     return whole.union(shared).groupBy("id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
@@ -290,6 +340,11 @@ def _version(name: str):
     return F.hash(name).alias("version")
 
 
+def _anywhere(name: str):
+    """0 for rows that must meet; rows that are repeats already are spread, as no task needs them."""
+    return F.when(F.col("again"), F.hash("id", name)).otherwise(0)
+
+
 _CUT = "struct<kept:binary,n_bytes:bigint,n_removed:bigint,n_spans:bigint>"
 
 
