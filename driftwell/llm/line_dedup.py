@@ -45,7 +45,8 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stream = Window.partitionBy("h", "g", "salt").orderBy("id", "pos")
     ranged = rows.select("*", salt).repartitionByRange(partitions(df.sparkSession), "h", "salt").sortWithinPartitions("h", "g", "salt", "id", "pos")
     first = ranged.withColumn("first", ~F.lag("id").over(stream).eqNullSafe(F.col("id")))
-    shared = (
+    # a table of its own, so that the join below shuffles both sides plainly and adaptive execution can split a hot key
+    shared = written(
         first.groupBy("h", "g").agg(F.count_if("first").alias("docs"), F.max("id").alias("keeper"))
         .where(F.col("docs") >= min_docs).select("h", "g", "keeper")
     )
