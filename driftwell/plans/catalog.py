@@ -51,7 +51,7 @@ sizes AS (SELECT array_to_string(p[1:i], '/') AS prefix, sum(coalesce(size, 0)):
 _POLICY = {"last": 3, "daily": 5, "monthly": 4, "yearly": 2}
 _IGNORE = ["# generated", "*/de/", "!*/de/d1*.md", "/web/**/d?.md", "d*7.md"]
 _ROUTES = [("ops", ["click", "purchase"], r"^dir[0-3]/"), ("all", ["view", "click", "purchase", "signup", "logout"], r"\.md$"), ("one", ["view"], "^dir5/f1[.]md$")]
-_PASSWORD = r"(?i)(?:password|passwd|pwd|secret)\s*[:=]\s*[^\s]{4,}"
+_PASSWORD = r"(?i)(?:password|passwd|pwd|secret|token)\s*[:=]\s*[^\s]{4,}"
 
 
 def _states(spark, sf):
