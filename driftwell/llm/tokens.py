@@ -7,8 +7,10 @@ lately go to the library, many in one call.  Texts that hold an added token's ow
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -19,68 +21,65 @@ _ODD = re.compile(r"\s\s|^\s|\s\Z")
 class PartMemo:
     """``one(text)`` returns the ids of a text as little-endian unsigned 32-bit integers.
 
-    ``whole`` encodes a text without help.  The memo has two generations of at most about ``memo`` parts of at most 64
-    characters: when the young one is full it becomes the old one, and what is used of the old one moves over.
+    ``whole`` encodes a text without help.  The memo holds at most about ``memo`` parts of at most 64 characters; when it
+    is full the half learned first stays, as common parts come early, and the rest is learned anew.  A part
+    is a word after a space, or a newline and the word after it; the first word of a text is looked up as if a newline
+    stood before it, whose id is then left out.
     """
 
     def __init__(self, added: list[str], memo: int = 600_000):
         self._memo, self._added = memo, added
-        self._after: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}  # parts by the white space before them
-        self._former: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
-        self._newline = self.whole("\n")
+        self._known: dict[str, bytes] = {}
+        self._newline = len(self.whole("\n"))
         self._marks = {c: self.whole(c) for c in ".,"}
 
     def whole(self, text: str) -> bytes:
         raise NotImplementedError
 
-    def _learn(self, parts: list[str], before: str) -> None:
-        self._after[before].update((p, self.whole(before + p)) for p in parts)
-
-    def _parts(self, parts: list[str], before: str) -> list[bytes]:
-        known = self._after[before]
-        try:
-            return list(map(known.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(known) > self._memo:
-            self._former[before], known = known, {}
-            self._after[before] = known
-        former = self._former[before]
-        new = set(parts).difference(known)
-        again = [p for p in new if p in former]
-        known.update(zip(again, map(former.__getitem__, again), strict=True))
-        new.difference_update(again)
-        once = {p: self.whole(before + p) for p in new if len(p) > 64}
-        new.difference_update(once)
+    def _learn(self, parts: list[str]) -> None:
+        self._known.update((p, self.whole(_spelled(p))) for p in parts)
+
+    def _missing(self, parts: list[str]) -> dict[str, bytes] | None:
+        """Learns the parts not known yet, and returns the long ones, which are not kept; null if the text must be cut otherwise."""
+        if len(self._known) > self._memo:
+            self._known = dict(islice(self._known.items(), self._memo // 2))
+        known = self._known
+        new = {p for p in parts if p not in known}
+        if "" in new or "\n" in new:
+            return None
+        long: dict[str, bytes] = {}
+        if not new:
+            return long
+        # white space inside a part is rare, so it is looked for in all of them at once
+        if len("|".join(new).replace("\n", "").split()) > 1 and any(map(_ODD.search, [p.removeprefix("\n") for p in new])):
+            return None
+        if max(map(len, new)) > 64:
+            long = {p: self.whole(_spelled(p)) for p in new if len(p) > 64}
+            new.difference_update(long)
         marked = [p for p in new if p[-1] in self._marks and p[-2:-1].isalpha()]  # a part ends where letters end
         new.difference_update(marked)
-        new.update(p[:-1] for p in marked if p[:-1] not in known)
+        new.update(q for p in marked if (q := p[:-1]) not in known)
         if new:
-            self._learn(list(new), before)
+            self._learn(list(new))
         known.update((p, known[p[:-1]] + self._marks[p[-1]]) for p in marked)
-        return [once[p] if p in once else known[p] for p in parts] if once else list(map(known.__getitem__, parts))
+        return long
 
     def one(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(a in text for a in self._added):
-            return self.whole(text)
-        if " ".join(text.split()) != text.replace("\n", " ") and _ODD.search(text):
+        for a in self._added:
+            if a in text:
+                return self.whole(text)
+        parts = ("\n" + text.replace("\n", " \n")).split(" ")
+        try:
+            return b"".join(map(self._known.__getitem__, parts))[self._newline :]
+        except KeyError:
+            pass
+        long = self._missing(parts)
+        if long is None:
             return b"".join(self._loose(text))
-        first, rest = [], []
-        for line in text.split("\n"):
-            word, *words = line.split(" ")
-            first.append(word)
-            rest.append(words)
-        ids = self._parts([w for words in rest for w in words], " ")
-        leads = self._parts(first, "\n")
-        leads[0] = leads[0][len(self._newline) :]  # nothing stands before the first line
-        out, at = [], 0
-        for lead, words in zip(leads, rest, strict=True):
-            out.append(lead)
-            out += ids[at : at + len(words)]
-            at += len(words)
-        return b"".join(out)
+        known = self._known
+        return b"".join([long[p] if p in long else known[p] for p in parts] if long else map(known.__getitem__, parts))[self._newline :]
 
     def _loose(self, text: str):
         """Cuts only at spaces that a non-space follows."""
@@ -88,13 +87,23 @@ class PartMemo:
         if head:
             yield self.whole(head)
         for part in parts:
-            yield self.whole(" " + part) if re.search(r"\s", part) else self._parts([part], " ")[0]
+            if len(part) > 64 or re.search(r"\s", part):
+                yield self.whole(" " + part)
+                continue
+            if part not in self._known:
+                self._missing([part])
+            yield self._known[part]
+
+
+def _spelled(part: str) -> str:
+    return part if part[0] == "\n" else " " + part
 
 
 class Encoder(PartMemo):
     """Whole texts and unknown parts by the ``tokenizers`` library."""
 
     def __init__(self, path: str, memo: int = 600_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
@@ -103,27 +112,28 @@ class Encoder(PartMemo):
         vocab = self._t.get_vocab()
         newline = self._t.encode("a\na", add_special_tokens=False).tokens[1]
         space = self._t.encode("a a", add_special_tokens=False).tokens[1][0]
-        self._opens = {" ": np.zeros(max(vocab.values()) + 1, bool), "\n": np.zeros(max(vocab.values()) + 1, bool)}
-        self._opens["\n"][vocab[newline]] = True
+        self._opens = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
-            self._opens[" "][i] = token[0] == space
+            self._opens[i] = token[0] == space or token == newline
         super().__init__([t.content for t in self._t.get_added_tokens_decoder().values()], memo)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self._t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self._ids(text), "<u4").tobytes()
+
+    def _ids(self, text: str) -> list[int]:
+        return self._t.encode_batch_fast([text], add_special_tokens=False)[0].ids  # leaves out offsets, which nobody asks for
 
-    def _learn(self, parts: list[str], before: str) -> None:
-        """Encodes parts in one call and cuts the ids where a part opens; parts hold no ``before`` themselves."""
-        known = self._after[before]
-        ids = np.array(self._t.encode(before + before.join(parts), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(self._opens[before][ids])
+    def _learn(self, parts: list[str]) -> None:
+        """Encodes parts in one call and cuts the ids where a part opens; parts hold no space and no other newline."""
+        ids = np.array(self._ids("".join([p if p[0] == "\n" else " " + p for p in parts])), "<u4")
+        cuts = np.flatnonzero(self._opens[ids])
         if len(cuts) != len(parts):
-            known.update((p, self.whole(before + p)) for p in parts)
+            super()._learn(parts)
             return
         raw, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
         at = 0
         for p, end in zip(parts, ends, strict=True):
-            known[p] = raw[at:end]
+            self._known[p] = raw[at:end]
             at = end
 
 
