@@ -33,7 +33,7 @@ from .shared import partitions, written
 LENGTH = 100
 _Q = 32
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 #: Members of a 32-gram beyond which its windows are dealt one by one.
 _WIDE = 1000
 
@@ -109,7 +109,7 @@ def _first(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 
 def _sample(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Step 1 over chunks of a few MB of texts (a longer text is a chunk of its own)."""
+    """Step 1 over chunks of about a MB of texts (a longer text is a chunk of its own)."""
 
     def chunk(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows.sort(key=lambda r: r[:2])
