@@ -51,11 +51,12 @@ class Pool:
     """Pieces (document, start, ids, tokens of the document) by length."""
 
     def __init__(self, capacity: int):
-        self._capacity, self._by_length, self.size = capacity, defaultdict(deque), 0
+        self._capacity, self._by_length, self.size, self.tokens = capacity, defaultdict(deque), 0, 0
 
     def put(self, piece: tuple) -> None:
-        self._by_length[len(piece[2]) // 4].append(piece)
+        self._by_length[n := len(piece[2]) // 4].append(piece)
         self.size += 1
+        self.tokens += n
 
     def _take(self, length: int) -> tuple:
         at = self._by_length[length]
@@ -63,6 +64,7 @@ class Pool:
         if not at:
             del self._by_length[length]
         self.size -= 1
+        self.tokens -= length
         return piece
 
     def sequence(self) -> list[tuple]:
@@ -87,7 +89,7 @@ def pack(
 
     A document's ids are those of its whole text with ``end_id`` at the end; ``ids`` holds the piece's as
     little-endian unsigned 32-bit integers.  Each id lies in one piece.  Sequences hold ``capacity`` ids but for the
-    last of a task.  ``pool`` bounds the pieces in memory.  A null or empty text is the end id alone; null ids and
+    last of a task.  ``pool``, or ``capacity`` if that is more, bounds the pieces in memory.  A null or empty text is the end id alone; null ids and
     repeated rows are packed like others (each row by itself); other columns are not read; an empty table gives no
     pieces.
     """
@@ -124,10 +126,11 @@ def pack(
                         yield out()
                 if whole < total:
                     rest.put((doc, whole, ids[4 * whole :], total))
-            while rest.size >= pool:
-                for _ in range(pool // 4):
+            if rest.size >= pool:
+                while rest.size > pool // 2 and rest.tokens >= capacity:
                     close(rest.sequence())
-                yield out()
+                if done:
+                    yield out()
         while rest.size:
             close(rest.sequence())
             if len(done) >= 1024:

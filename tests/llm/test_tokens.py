@@ -131,6 +131,14 @@ def test_packing_edges(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), VOCABULARY).count() == 0
 
 
+@pytest.mark.parametrize(("texts", "pool"), [
+    ([None, "", "a cat"] * 3000, 4096), ([""] * 4200, 4096), (["one two three " * (i % 9) for i in range(5000)], 4096), (["a cat", ""] * 700, 16),
+])
+def test_packing_of_many_short_documents_in_one_task(spark, texts, pool):
+    rows = packing.pack(docs(spark, texts).coalesce(1), VOCABULARY, pool=pool).collect()
+    assert check_packed(rows, dict(enumerate(texts, 1)), 1024) <= 1
+
+
 def test_best_fill_is_the_closest_to_the_room():
     rng = random.Random(2)
     for _ in range(200):
