@@ -108,11 +108,16 @@ def _first(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _distinct(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """The order without what equals the one before in all keys: the same place of one document that stands in several rows."""
+    return order[_first(order, *keys)]
+
+
 def _sample(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Step 1 over chunks of about a MB of texts (a longer text is a chunk of its own)."""
 
     def chunk(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows.sort(key=lambda r: r[:2])
+        rows = list(dict.fromkeys(sorted(rows, key=lambda r: r[:2])))
         sizes = np.array([len(r[2]) for r in rows], np.int64)
         ends = np.cumsum(sizes)
         starts = ends - sizes
@@ -151,7 +156,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     t = pa.concat_tables(tables)
     gram, content, ids, version, place, again = (t[c].to_numpy() for c in ("gram", "content", "id", "version", "place", "again"))
-    order = np.lexsort((place, version, ids, again, content, gram))
+    order = _distinct(np.lexsort((place, version, ids, again, content, gram)), gram, content, again, ids, version, place)
     new = _first(order, gram, content)
     head = _first(order, gram)
     group = np.cumsum(head) - 1
@@ -215,6 +220,9 @@ def _refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
     def members(t: pa.Table) -> pa.RecordBatch:
         ids, version, start = (t[c].to_numpy() for c in ("id", "version", "start"))
+        keep = _distinct(np.lexsort((start, version, ids)), ids, version, start)
+        if len(keep) < len(ids):
+            t, ids, version, start = t.take(pa.array(keep)), ids[keep], version[keep], start[keep]
         around = t["around"].to_pylist()
         sizes = np.fromiter(map(len, around), np.int64, len(around))
         base = np.cumsum(sizes) - sizes
@@ -251,13 +259,14 @@ def _refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 def _seen_before(t: pa.Table, length: int) -> pa.RecordBatch:
     """Spans of single windows: those marked ``again``, and all but the first of a bucket."""
     gram, content, ids, version, start, again = (t[c].to_numpy(zero_copy_only=False) for c in ("gram", "content", "id", "version", "start", "again"))
-    order = np.lexsort((start, version, ids, again, content, gram))
+    order = _distinct(np.lexsort((start, version, ids, again, content, gram)), gram, content, again, ids, version, start)
     at = order[~_first(order, gram, content) | again[order].astype(bool)]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at], version[at], start[at], start[at] + length)], ["id", "version", "start", "end"])
 
 
 def _single_windows(rows: list[tuple], length: int) -> pa.RecordBatch:
     """A row for each window of members of wide 32-grams, all but the first of a bucket marked ``again``."""
+    rows = list({r[:4]: r for r in rows}.values())
     sizes = np.fromiter((len(r[4]) for r in rows), np.int64, len(rows))
     base = np.cumsum(sizes) - sizes
     n = sizes - length + 1
@@ -288,7 +297,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A span is a run of windows of ``length`` bytes that also start earlier: in a smaller id, or earlier in the same text.
     Ids are integers; a null one counts as less than all others.  ``version`` is the hash of the text: rows that repeat id
-    and text are one document, rows that repeat an id with another text are ordered by the hash.
+    and text are one document (no repeat of themselves; each has the document's spans, and null ids count as one id), rows
+    that repeat an id with another text are ordered by the hash.
     """
     if length < 96 or length > 128:
         raise ValueError("windows of 96 to 128 bytes")

@@ -149,6 +149,26 @@ def test_suffix_dedup_edges(spark):
     assert texts == {1: "é" * 50, 2: "xy"}
 
 
+@pytest.mark.parametrize("wide", [1000, 3])
+def test_rows_that_repeat_id_and_text_are_one_document(spark, monkeypatch, wide):
+    run = suffix_dedup._merge
+
+    def patched(batches):
+        suffix_dedup._WIDE = wide
+        return run(batches)
+
+    monkeypatch.setattr(suffix_dedup, "_merge", patched)
+    kept = lambda df: sorted((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.dedup_bytes(df).collect())
+    for parts in (1, 2):
+        df = spark.createDataFrame([(1, LONG), (1, LONG)], "doc_id bigint, text string").repartition(parts)
+        assert kept(df) == plain_repeats([(1, LONG)]) * 2
+    rows = list(enumerate(repeated_texts(), 1))
+    twice = [*rows, *rows[::2], *rows[::3]]
+    random.Random(2).shuffle(twice)
+    want = {r[0]: r for r in plain_repeats(rows)}
+    assert kept(spark.createDataFrame(twice, "doc_id bigint, text string").repartition(5)) == sorted(want[i] for i, _ in twice)
+
+
 def brute_nearest(ids, x, queries_, top=5):
     unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     out = {}
