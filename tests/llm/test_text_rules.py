@@ -9,6 +9,7 @@ import duckdb
 import pytest
 import xxhash
 from common import DOCS, LONG, TEXTS, clashing, docs
+from pyspark.sql import functions as F
 
 from driftwell.llm import line_dedup, quality_rules, queries, simhash
 from driftwell.llm.components import connected_components
@@ -81,6 +82,21 @@ def test_grid_cutoff_is_the_lowest_proved(spark):
     assert not few.cutoffs
 
 
+def test_rules_reject_bad_documents_of_each_stratum(spark):
+    sf = "/root/testdata/sf0.1"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = quality_rules.quality(d, labels).where("not base_failed").join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id")
+    rates = {r.lang: (r.bad, r.rejected) for r in out.groupBy("lang").agg(F.count("*").alias("bad"), F.count_if(~F.col("kept")).alias("rejected")).collect()}
+    assert len(rates) == 4 and all(rejected >= 0.9 * bad > 0 for bad, rejected in rates.values()), rates
+
+
+def test_joint_rules_are_nested():
+    for k in range(1, quality_rules.PLACES):
+        a, b = quality_rules.joint_rule(k - 1), quality_rules.joint_rule(k)
+        assert all(a[m] >= b[m] for m in a) and a != b
+    assert quality_rules.joint_rule(quality_rules.PLACES - 1) == {m: grid[0] if m != "short_words" else -4.0 for m, (_, grid) in quality_rules.MEASURES.items()}
+
+
 def plain_lines(rows):
     keys = defaultdict(set)
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
