@@ -244,3 +244,14 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in e} == {r.doc_id for r in c}
     check_packed(packed, {r.doc_id: r.text for r in e}, 1024)
     assert len(stages) == 5
+
+
+def test_near_stage_keeps_null_ids_and_one_row_of_an_id(spark, sf_dir):
+    a, b, c, d = ("apples fall from trees", "boats sail the sea", "cows eat grass all day", "dogs sleep near the fire")
+    rows = [(None, a), (None, b), (None, b), (None, c), (5, c), (7, d), (7, d), (8, "one text of eight"), (8, "another that eight has"), (9, d), (10, "ten stands alone here")]
+    df = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], DOCS)
+    kept = corpus_pipeline.near(spark, df, sf_dir)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(None, a), (None, b), (5, c), (7, d), (8, "another that eight has"), (10, "ten stands alone here")], key=repr)
+    assert corpus_pipeline.near(spark, df.limit(0), sf_dir).count() == 0
