@@ -50,13 +50,13 @@ class PartMemo:
         long: dict[str, bytes] = {}
         if not new:
             return long
-        # white space inside a part is rare, so it is looked for in all of them at once
-        if len("|".join(new).replace("\n", "").split()) > 1 and any(map(_ODD.search, [p.removeprefix("\n") for p in new])):
+        # white space inside a part is rare, so it is looked for in all of them at once, the first one's head and the last one's end included
+        if len(f"|{'|'.join(new)}|".replace("\n", "").split()) > 1 and any(map(_ODD.search, [p.removeprefix("\n") for p in new])):
             return None
         if max(map(len, new)) > 64:
             long = {p: self.whole(_spelled(p)) for p in new if len(p) > 64}
             new.difference_update(long)
-        marked = [p for p in new if p[-1] in self._marks and p[-2:-1].isalpha()]  # a part ends where letters end
+        marked = [p for p in new if p[-1] in self._marks and p[-2:-1].isalpha() and p[-2] < "\x80"]  # a part ends where letters end
         new.difference_update(marked)
         new.update(q for p in marked if (q := p[:-1]) not in known)
         if new:
