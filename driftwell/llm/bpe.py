@@ -16,6 +16,7 @@ import json
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces
-from .tokens import PartMemo
 
 #: The splitting pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -135,72 +135,120 @@ class Transducer:
         self._pending = b""
 
 
-def stream_tokens(chunks: Iterable[str], merges: Merges) -> Iterator[int]:
+class TokenStream:
     """Tokens of a text that comes in chunks; memory does not grow with it, however long its runs are.
 
-    A part is closed once something follows it.  A run that fills the buffer goes to the transducer as it comes,
-    all but its last character.
+    A part is closed once something follows it.  Closed parts go through the transducer, or are looked up in ``known`` if
+    they have been through it lately.  A run of over ``LONG`` characters goes to the transducer as it comes, all but its
+    last character, which may open the next part.
     """
-    held, run, transducer = "", None, None
-    for chunk in chunks:
-        held += chunk
-        if run:
-            n = run.match(held).end()
-            if n == len(held):  # the run goes on; keep its last character, which may open the next part
-                yield from transducer.feed(held[:-1].encode())
-                held = held[-1:]
-                continue
-            stop = n - 1 if run is _RUNS[3] and n else n  # of white space before another part, the last stays out
-            yield from transducer.feed(held[:stop].encode())
-            yield from transducer.finish()
-            held, run = held[stop:], None
+
+    LONG = 4096
+
+    def __init__(self, merges: Merges, known: dict[str, bytes], most: int = 400_000):
+        self._merges, self._known, self._most = merges, known, most
+        self._held, self._run, self._transducer = "", None, Transducer(merges)
+
+    def _new(self, part: str) -> bytes:
+        raw = part.encode()
+        ids = pack_ids([*self._transducer.feed(raw), *self._transducer.finish()])
+        if len(part) <= 32:
+            if len(self._known) >= self._most:  # the half learned first stays: common parts come early
+                for p in list(islice(self._known, self._most // 2, None)):
+                    del self._known[p]
+            self._known[part] = ids
+        return ids
+
+    def _closed(self, parts: list[str]) -> bytes:
+        try:
+            return b"".join(map(self._known.__getitem__, parts))
+        except KeyError:
+            return b"".join([self._known.get(p) or self._new(p) for p in parts])
+
+    def feed(self, chunk: str) -> bytes:
+        """The ids that have become stable, as little-endian unsigned 32-bit integers."""
+        held, out = self._held + chunk, b""
+        if self._run:
+            n = self._run.match(held).end()
+            if n == len(held):  # the run goes on
+                self._held = held[-1:]
+                return pack_ids([*self._transducer.feed(held[:-1].encode())])
+            stop = n - 1 if self._run is _RUNS[3] and n else n  # of white space before another part, the last stays out
+            out = pack_ids([*self._transducer.feed(held[:stop].encode()), *self._transducer.finish()])
+            held, self._run = held[stop:], None
         parts = _SPLIT.findall(held)
         open_ = 2 if len(parts) > 1 and "".join(parts[-2:]) in _OPEN else 1
-        for part in parts[:-open_]:
-            yield from merges.tokens(part.encode())
+        out += self._closed(parts[:-open_])
         held = "".join(parts[-open_:])
-        if len(held) > 4096:
-            run, transducer = next(r for r in _RUNS if r.match(held[-1]).end()), Transducer(merges)
-            yield from transducer.feed(held[:-1].encode())
+        if len(held) > self.LONG:
+            self._run = next(r for r in _RUNS if r.match(held[-1]).end())
+            out += pack_ids([*self._transducer.feed(held[:-1].encode())])
             held = held[-1:]
-    if run:
-        yield from transducer.feed(held.encode())
-        yield from transducer.finish()
-    else:
-        for m in _SPLIT.finditer(held):
-            yield from merges.tokens(m.group().encode())
+        self._held = held
+        return out
+
+    def finish(self) -> bytes:
+        held, self._held = self._held, ""
+        if self._run:
+            self._run = None
+            return pack_ids([*self._transducer.feed(held.encode()), *self._transducer.finish()])
+        return self._closed(_SPLIT.findall(held))
 
 
-class StreamEncoder(PartMemo):
+class StreamEncoder:
     """Encodes as the ``tokenizers`` library does with the same file, added tokens in a text included."""
 
-    def __init__(self, path: str, memo: int = 400_000):
-        self.merges = Merges(path)
+    def __init__(self, path: str, memo: int = 400_000, chunk: int = 4096):
+        self.merges, self._chunk = Merges(path), chunk
+        self._most, self._known = memo, {}
         added = sorted(self.merges.added, key=len, reverse=True)
-        self._cut = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-        super().__init__(added, memo)
-
-    def whole(self, text: str) -> bytes:
-        ids: list[int] = []
-        for piece in self._cut.split(text) if self._cut and any(map(text.__contains__, self.merges.added)) else [text]:
-            if piece in self.merges.added:
-                ids.append(self.merges.added[piece])
-            elif len(piece) <= 4096:
-                for part in _SPLIT.findall(piece):
-                    ids += self.merges.tokens(part.encode())
+        self._cut = regex.compile("|".join(map(regex.escape, added))) if added else None
+        self._opens, self._longest = {a[0] for a in added}, max(map(len, added), default=0)
+
+    def blocks(self, chunks: Iterable[str]) -> Iterator[bytes]:
+        """Packed ids of a text in chunks, as they become stable; an added token ends what stands before it."""
+        stream, held = TokenStream(self.merges, self._known, self._most), ""
+        for chunk in chunks:
+            held += chunk
+            if any(map(held.__contains__, self._opens)):
+                # only what can no longer be a part of an added token is passed on
+                done, sure = 0, len(held) - self._longest
+                for m in self._cut.finditer(held):
+                    if m.start() > sure:
+                        break
+                    yield from self._added(stream, held[done : m.start()], m.group())
+                    done = m.end()
+                sure = max(done, sure)
+                yield stream.feed(held[done:sure])
+                held = held[sure:]
             else:
-                ids += stream_tokens((piece[i : i + 4096] for i in range(0, len(piece), 4096)), self.merges)
-        return pack_ids(ids)
+                yield stream.feed(held)
+                held = ""
+        done = 0
+        for m in self._cut.finditer(held) if self._cut else ():
+            yield from self._added(stream, held[done : m.start()], m.group())
+            done = m.end()
+        yield stream.feed(held[done:])
+        yield stream.finish()
+
+    def _added(self, stream: TokenStream, before: str, token: str) -> Iterator[bytes]:
+        yield stream.feed(before)
+        yield stream.finish()
+        yield pack_ids([self.merges.added[token]])
+
+    def one(self, text: str | None) -> bytes:
+        n = self._chunk
+        return b"".join(self.blocks(text[i : i + n] for i in range(0, len(text), n))) if text else b""
 
 
 def decode_stream(ids: Iterable[bytes], merges: Merges) -> Iterator[str]:
     """Text of blocks of packed ids; bytes of a character that a block cuts wait for the next one.
 
-    Bytes that are no UTF-8 become U+FFFD, ids that are no tokens nothing.
+    Bytes that are no UTF-8 become U+FFFD, ids that are no tokens nothing, as do bytes at a block's end that make no whole id.
     """
     state, of = codecs.getincrementaldecoder("utf-8")("replace"), merges.bytes_of
     for block in ids:
-        yield state.decode(b"".join([of.get(i, b"") for i in np.frombuffer(block, "<u4").tolist()]))
+        yield state.decode(b"".join([of.get(i, b"") for i in np.frombuffer(block, "<u4", len(block) // 4).tolist()]))
     yield state.decode(b"", final=True)
 
 
@@ -230,7 +278,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) from packed ids; null ids give a null text."""
+    """(id, text) from packed ids; null ids give a null text, ids that are no tokens and bytes that make no whole id nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _encoder(vocabulary).merges

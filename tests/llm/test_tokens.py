@@ -21,20 +21,71 @@ def mixed(n, seed):
     return ["".join(rng.choice(PIECES) for _ in range(rng.randrange(1, 60))) for _ in range(n)]
 
 
+#: All of Unicode's white space, characters that Python alone calls so, and some that look so.
+SPACES = [" ", " ", " ", "\n", "\t", "\r", *map(chr, [0xB, 0xC, 0x1C, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+WORDS = ["a", "Hello", "brave", "'s", "'re", "'", "don't", "12", "é", "日本", "!", "...", "<|endoftext|>", "<|", "word.", "x,", "café.", "’", "😀", "\0"]
+
+
+def spaced(rng):
+    return "".join(rng.choice(SPACES) if rng.random() < 0.45 else rng.choice(WORDS) for _ in range(rng.randrange(1, 12)))
+
+
+def ids_of(t, text):
+    return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_both_encoders_agree_with_the_library():
     t, fast, streamed = tokenizer(), Encoder(VOCABULARY, memo=50), bpe.StreamEncoder(VOCABULARY, memo=50)
     for text in [x or "" for x in TEXTS] + mixed(600, 3):
-        want = np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        want = ids_of(t, text)
         assert fast.one(text) == want
         assert streamed.one(text) == want
 
 
+def test_odd_white_space_whatever_the_memo_holds():
+    t, rng, fast, streamed = tokenizer(), random.Random(5), Encoder(VOCABULARY), bpe.StreamEncoder(VOCABULARY)
+    for i, text in enumerate(["\xa0", "\xa0\xa0Hello", "\xa0\xa0Hello brave", "a\xa0", *(spaced(rng) for _ in range(100_000))]):
+        want = ids_of(t, text)
+        assert fast.one(text) == want, repr(text)
+        if i % 10 == 0:
+            assert streamed.one(text) == want, repr(text)
+            fast._known.clear()  # empty for the next text, ever fuller for the nine after it
+
+
 def test_stream_in_small_chunks_is_the_whole_text():
-    t, merges = tokenizer(), bpe.Merges(VOCABULARY)
-    for text in [x for x in TEXTS if x and "<|" not in x] + [x for x in mixed(100, 9) if "<|" not in x]:
-        for size in (1, 7, 5000) if len(text) < 2000 else (613, 4096):
-            got = list(bpe.stream_tokens((text[i : i + size] for i in range(0, len(text), size)), merges))
-            assert got == t.encode(text, add_special_tokens=False).ids
+    t = tokenizer()
+    for size in (1, 7, 613, 5000):
+        e = bpe.StreamEncoder(VOCABULARY, chunk=size)
+        for text in [x for x in TEXTS if x and (size > 7 or len(x) < 2000)] + mixed(100, 9):
+            assert e.one(text) == ids_of(t, text)
+
+
+def test_every_text_goes_through_the_stream_and_memory_stays(monkeypatch):
+    fed, held, parts = [], [], []
+    feed, push = bpe.TokenStream.feed, bpe.Transducer.feed
+
+    def counted(self, chunk):
+        out = feed(self, chunk)
+        fed.append(len(chunk))
+        held.append(len(self._held))
+        return out
+
+    def pushed(self, raw):
+        yield from push(self, raw)
+        parts.append(len(self._pending))
+
+    monkeypatch.setattr(bpe.TokenStream, "feed", counted)
+    monkeypatch.setattr(bpe.Transducer, "feed", pushed)
+    e = bpe.StreamEncoder(VOCABULARY)
+    for text in TEXTS:
+        before = sum(fed)
+        e.one(text)
+        assert sum(fed) - before == len((text or "").replace("<|endoftext|>", ""))
+    assert parts and max(fed) <= 4096 + 13 and max(held) <= 8192
+    held.clear(), parts.clear()
+    for _ in e.blocks("日本" * 2048 for _ in range(300)):  # one run of 1.2 million characters, which need not be there at once
+        pass
+    assert max(held) <= 8192 and max(parts) <= e.merges.lookahead + 2 * 4096
 
 
 @pytest.mark.parametrize("unit", ["x", "ab", "aaab", "the", "日", "-", "=-", "7"])
