@@ -1,11 +1,11 @@
 """Approximate nearest neighbours under cosine: an NN-descent graph and greedy search on it.
 
-Rows with equal vectors are one node, so copies cost nothing and their ties are exact.  The graph starts from blocks of
-a bounded number of nodes that stand together in one of several random orders of space.  Then rounds of NN-descent: the neighbours of a node, forward and
-(a bounded sample) backward, are joined to it and compared with each other where one of them is new, and each node keeps
-its best ``k``.  A query walks the graph: the unvisited neighbours of its best nodes so far are joined and scored until
-none of the best is unvisited.  Graph building works on half-precision unit vectors; reported scores are
-computed in double precision from the original ones.
+Rows with equal vectors are one node, so copies cost nothing and their ties are exact.  The graph starts from a few dozen
+nodes that stand beside each node in a few random orders of space, poor lists mostly.  Rounds of NN-descent improve them:
+the neighbours of a node, forward and (a bounded sample) backward, are joined to it and compared with each other where one
+of them is new, and each node keeps its best ``k``.  Rounds end when few lists still change.  A query walks the graph: the
+unvisited neighbours of its best nodes so far are joined and scored until none of the best is unvisited.  Graph building
+works on half-precision unit vectors; reported scores are computed in double precision from the original ones.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import whole_groups
-from .shared import partitions, written
+from .shared import drop, partitions, written
 
 _PAIRS = "a bigint, b bigint, sim float"
 #: A node's neighbours, their similarities and whether they are new, packed; a node may have several such rows.
@@ -36,12 +36,24 @@ def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") ->
     return ok.where(F.size(vec) == (length[0].n if length else 0))
 
 
-def _unit(vec: pa.Array) -> np.ndarray:
+def _scaled(vec: pa.Array) -> np.ndarray:
+    """Vectors by their largest components, so that squares neither overflow nor vanish."""
     x = vec.values.to_numpy(zero_copy_only=False)[vec.offsets[0].as_py() : vec.offsets[-1].as_py()].reshape(len(vec), -1)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = x * np.exp2(-np.frexp(np.abs(x).max(axis=1, keepdims=True))[1] // 2)  # in two steps, as 2**1074 is no double
+    return x * np.exp2(-np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _unit(vec: pa.Array) -> np.ndarray:
+    x = _scaled(vec)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def cosines(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """The cosine of each pair of vectors in double precision; powers of two that vectors are scaled by change no digit of it."""
+    x, y = _scaled(x), _scaled(y)
+    return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+
+
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
@@ -111,10 +123,17 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
     """One row for each node, with its ``k`` best arcs from all its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if got := [b for b in batches if b.num_rows]:
-            yield _lists(*_flat(pa.Table.from_batches(got)), k)
+        held, rows = [], 0
+        for t in whole_groups(batches, "a"):
+            held.append(t)
+            rows += t.num_rows
+            if rows >= 20_000:
+                yield _lists(*_flat(pa.concat_tables(held)), k)
+                held, rows = [], 0
+        if held:
+            yield _lists(*_flat(pa.concat_tables(held)), k)
 
-    return written(lists.repartition(partitions(lists.sparkSession), "a").mapInArrow(run, _LISTS))
+    return written(lists.repartition(partitions(lists.sparkSession), "a").sortWithinPartitions("a").mapInArrow(run, _LISTS))
 
 
 def _arcs(lists: DataFrame) -> DataFrame:
@@ -162,7 +181,8 @@ def first_lists(nodes: DataFrame, k: int, block: int) -> DataFrame:
             yield lists(ids, rows)
 
     keys = ["direction", "code", F.xxhash64("node")]
-    ranged = nodes.select("node", "unit", F.posexplode("lines").alias("direction", "code")).repartitionByRange(partitions(nodes.sparkSession), *keys)
+    tasks = min(partitions(nodes.sparkSession), 1 + nodes.count() // (8 * block))  # so few nodes stand at the edge of a task
+    ranged = nodes.select("node", "unit", F.posexplode("lines").alias("direction", "code")).repartitionByRange(tasks, *keys)
     return ranged.sortWithinPartitions(*keys).select("node", "unit", "direction").mapInArrow(run, _LISTS)
 
 
@@ -204,8 +224,12 @@ def _descend(lists: DataFrame, nodes: DataFrame, k: int, sample: int) -> DataFra
     return joined.repartition(n, "at").sortWithinPartitions("at").mapInArrow(run, _LISTS)
 
 
-def build(nodes: DataFrame, k: int = 20, sample: int = 16, rounds: int = 2, block: int = 1024) -> DataFrame:
-    """(a, b, sim, new): the best ``k`` neighbours found of each node, after ``rounds`` rounds of NN-descent."""
+def build(nodes: DataFrame, k: int = 50, sample: int = 36, rounds: int | None = None, block: int = 64, still: float = 0.02) -> DataFrame:
+    """(a, b, sim, new): the best ``k`` neighbours found of each node.
+
+    Rounds of NN-descent go on until one brings new arcs to at most the share ``still`` of all arcs; ``rounds`` ends them
+    earlier.
+    """
 
     def old(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -213,16 +237,21 @@ def build(nodes: DataFrame, k: int = 20, sample: int = 16, rounds: int = 2, bloc
             if len(a):
                 yield _lists(a, b, sim, np.zeros_like(new), k)
 
-    lists = _merged(first_lists(nodes, k, block), k)
-    for _ in range(rounds):
-        lists = _merged(lists.mapInArrow(old, _LISTS).union(_descend(lists, nodes, k, sample)), k)
+    lists, done = _merged(first_lists(nodes, k, block), k), 0
+    while rounds is None or done < rounds:
+        before, lists = lists, _merged(lists.mapInArrow(old, _LISTS).union(_descend(lists, nodes, k, sample)), k)
+        drop(before)
+        done += 1
+        arcs, new = _arcs(lists).agg(F.count("*"), F.count_if("new")).first()
+        if new <= still * arcs:
+            break
     return _arcs(lists)
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width: int = 64, hops: int = 6, sample: int = 12) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width: int = 48, sample: int = 12) -> DataFrame:
     """(query, node): the ``width`` best nodes found for each (query, unit, start), by greedy walks from ``start``.
 
-    A walk ends when its best ``width`` nodes are all visited, or after ``hops``.
+    A walk ends when its best ``width`` nodes are all visited.
     """
     back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
     ways = written(graph.select("a", "b").union(_top(back, sample).select("a", "b")).distinct())
@@ -240,14 +269,12 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width: int =
 
     starts = queries.select(F.col("query").alias("a"), F.col("start").alias("b")).distinct()
     best = written(_top(scored(starts), width).withColumn("visited", F.lit(False)))
-    for _ in range(hops):
-        todo = best.where("not visited").select("a", F.col("b").alias("via"))
-        if todo.isEmpty():
-            break
+    while not (todo := best.where("not visited").select("a", F.col("b").alias("via"))).isEmpty():
         near = todo.join(ways.withColumnRenamed("a", "via"), "via").select("a", "b").distinct()
         new = scored(near.join(best.select("a", "b"), ["a", "b"], "left_anti")).withColumn("visited", F.lit(False))
         # a node seen before and dropped from the best scores as before and drops again
-        best = written(_top(best.withColumn("visited", F.lit(True)).union(new), width))
+        before, best = best, written(_top(best.withColumn("visited", F.lit(True)).union(new), width))
+        drop(before)
     return best.select(F.col("a").alias("query"), F.col("b").alias("node"))
 
 
@@ -262,7 +289,7 @@ def nearest(
     Other columns are not read.  No queries or an empty table give no rows.
     """
     vectors = written(usable(df, id_col, vec_col))
-    nodes = written(nodes_of(vectors, how.pop("directions", 24)))
+    nodes = written(nodes_of(vectors, how.pop("directions", 2)))
     graph = build(nodes, **how)
     member = vectors.join(nodes.select("vec", "node"), "vec").select("id", "node")
     asking = written(member.where(queries).distinct())
@@ -272,9 +299,8 @@ def nearest(
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (c.values.to_numpy(zero_copy_only=False)[c.offsets[0].as_py() : c.offsets[-1].as_py()].reshape(b.num_rows, -1) for c in (b.column("x"), b.column("y")))
-                dot = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
-                yield pa.RecordBatch.from_arrays([b.column("query"), b.column("node"), pa.array(dot)], ["query", "node", "score"])
+                score = cosines(b.column("x"), b.column("y"))
+                yield pa.RecordBatch.from_arrays([b.column("query"), b.column("node"), pa.array(score)], ["query", "node", "score"])
 
     vec = nodes.select("node", F.col("vec").alias("y"))
     pairs = found.join(vec, "node").join(nodes.select(F.col("node").alias("query"), F.col("vec").alias("x")), "query").select("query", "node", "x", "y")

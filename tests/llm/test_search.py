@@ -7,6 +7,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from common import DOCS, LONG, TEXTS, clashing, docs
 
@@ -217,6 +218,45 @@ def test_nearest_edges(spark):
     assert nn_descent.nearest(df.where("vec_id = 0")).count() == 0
 
 
+def isotropic(spark, n, dim, seed=2):
+    """Vectors without clusters, the hardest kind."""
+    x = np.random.default_rng(seed).normal(size=(n, dim)).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float32()))})
+    unit = x.astype(np.float64)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    near = {}
+    for q in range(0, n, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        near[q] = np.argpartition(-s, 5)[:5].tolist()
+    return spark.createDataFrame(table), near
+
+
+def test_rounds_of_descent_make_the_recall(spark):
+    df, want = isotropic(spark, 6000, 32)
+    nodes = nn_descent.nodes_of(nn_descent.usable(df), 2).cache()
+    found = {}
+    for rounds in (0, None):
+        arcs = nn_descent.build(nodes, k=20, sample=16, block=64, rounds=rounds).where("a % 50 = 0").toPandas()
+        lists = arcs.groupby("a").b.agg(set)
+        found[rounds] = np.mean([len(lists[q] & set(w)) / 5 for q, w in want.items()])
+    assert found[None] >= 0.85 and found[0] <= 0.4, found
+
+
+def test_recall_on_fifty_thousand_vectors(spark):
+    df, want = isotropic(spark, 50_000, 16)
+    assert recall(nn_descent.nearest(df, k=24, sample=18).collect(), want) >= 0.9
+
+
+def test_tiny_and_huge_vectors(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e-200, 1e-200]), (2, [1.0, 0.0]), (50, [1e200, 0.0]), (100, [5e-324, 1.7e308]), (3, [0.0, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r.query_id, r.vec_id, round(r.score, 9)) for r in nn_descent.nearest(df).orderBy("query_id", "rank").collect()]
+    h = round(0.5**0.5, 9)
+    assert got[:5] == [(0, 2, 1.0), (0, 50, 1.0), (0, 1, h), (0, 3, 0.0), (0, 100, 0.0)]
+    assert got[10:] == [(100, 3, 1.0), (100, 1, h), (100, 0, 0.0), (100, 2, 0.0), (100, 50, 0.0)]
+
+
 def test_pipeline_stages(spark, sf_dir):
     from test_text_rules import plain_components, plain_fingerprint, plain_lines
     from test_tokens import check_packed
