@@ -74,7 +74,59 @@ QUERIES = {f.__name__: f for f in (
     op9_suffix_dedup, op10_nn_descent,
 )}
 
+def _quality_sql(max_rejected: float = 0.04, error: float = 0.05, strata: int = 64) -> str:
+    """SQL of op1 with the operator's defaults: statistics, the certified rule of each stratum, and the verdict."""
+    places = range(quality_rules.PLACES)
+    hits = ", ".join(
+        "(" + " OR ".join(f"coalesce(({quality_rules.MEASURES[m][0]}) > {c}, false)" for m, c in quality_rules.joint_rule(k).items()) + f") AS hit_{k}" for k in places
+    )
+    counts = ", ".join(f"count(*) FILTER (good AND hit_{k}) AS good_{k}, count(*) FILTER (NOT good AND hit_{k}) AS bad_{k}" for k in places)
+    tests = " UNION ALL ".join(f"SELECT s, n, bad, {k} AS k, good_{k} AS g, bad_{k} AS b FROM tested" for k in places)
+    p = max_rejected
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '(null)') AS s, text, coalesce(text, '') AS x,
+         list_filter(string_split_regex(coalesce(text, ''), '[	- ]+'), lambda v: v <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda v: regexp_matches(v, '[^	- ]')) AS lines
+  FROM documents
+), grams AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM docs)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1
+), repeats AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, 5) AS r(k) GROUP BY 1
+), counted AS (
+  SELECT doc_id, s, text, len(words) AS n_words, length(regexp_replace(x, '[	- ]', '', 'g')) AS word_chars,
+         length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(repeats.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+         len(list_filter(words, lambda v: regexp_matches(v, '[A-Z]') AND NOT regexp_matches(v, '[a-z]'))) AS n_shouted
+  FROM docs LEFT JOIN repeats USING (doc_id)
+), stats AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {hits} FROM counted
+), marks AS (
+  SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IN (0, 1) GROUP BY 1
+), held AS (
+  SELECT s, text, bool_or(good) AS good, {", ".join(f"bool_or(hit_{k}) AS hit_{k}" for k in places)}
+  FROM stats JOIN marks USING (doc_id) WHERE NOT base_failed GROUP BY 1, 2
+), tested AS (
+  SELECT s, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS bad, {counts} FROM held GROUP BY 1 HAVING count(*) FILTER (good) > 0 ORDER BY n DESC, s LIMIT {strata}
+), tails AS (
+  SELECT *, CASE WHEN g >= n THEN 1 ELSE list_sum(list_transform(range(0, g + 1), lambda j:
+    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p})))) END <= {error} / (SELECT count(*) FROM tested) AS proved
+  FROM ({tests})
+), chosen AS (
+  SELECT s, CASE WHEN any_value(bad) > 0 THEN arg_max(k, b * 1000 - k) ELSE max(k) END AS k FROM tails t
+  WHERE k < coalesce((SELECT min(u.k) FROM tails u WHERE u.s = t.s AND NOT u.proved), {quality_rules.PLACES}) GROUP BY 1
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(CASE k {" ".join(f"WHEN {k} THEN hit_{k}" for k in places)} END, false) AS kept
+FROM stats LEFT JOIN chosen USING (s)
+"""
+
+
 ORACLE_SQL = {
+    "op1_quality_rules": _quality_sql(),
     "op2_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

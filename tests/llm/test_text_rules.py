@@ -73,19 +73,25 @@ def test_rules_edges(spark):
 
 
 def test_grid_cutoff_is_the_lowest_proved(spark):
-    rows = [(i, "en", 100, 500, 30 if i < 4 else 1, 0, 0, 10, 0) for i in range(4000)]
-    stats = spark.createDataFrame(rows, "doc_id bigint, lang string, " + ", ".join(f"{c} bigint" for c in quality_rules.STATS))
+    rows = [(i, "en", i, 100, 500, 30 if i < 4 else 1, 0, 0, 10, 0) for i in range(4000)]
+    stats = spark.createDataFrame(rows, "doc_id bigint, lang string, _key bigint, " + ", ".join(f"{c} bigint" for c in quality_rules.STATS))
     labels = stats.selectExpr("doc_id", "1 as quality")
     rules = quality_rules.calibrate(stats, labels)
     assert rules.cutoffs["en"]["symbols"] == 0.1  # 4 of 4000 rejected at 0.1 is proved below 0.04 / 6
     few = quality_rules.calibrate(stats, labels.limit(50))
     assert not few.cutoffs
+    copies = quality_rules.calibrate(stats.withColumn("_key", F.col("doc_id") % 50), labels)
+    assert not copies.cutoffs  # 4000 copies of 50 texts are 50 trials
+    two = stats.union(stats.withColumn("lang", F.lit("de")).withColumn("doc_id", F.col("doc_id") + 4000).limit(3000))
+    assert set(quality_rules.calibrate(two, two.selectExpr("doc_id", "1 as quality"), strata=1).cutoffs) == {"en"}  # the rest has no rule
 
 
 def test_rules_reject_bad_documents_of_each_stratum(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    out = quality_rules.quality(d, labels).where("not base_failed").join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id")
+    judged = quality_rules.quality(d, labels)
+    assert judged.where("not base_failed and not kept").select("lang").distinct().count() == 4
+    out = judged.where("not base_failed").join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id")
     rates = {r.lang: (r.bad, r.rejected) for r in out.groupBy("lang").agg(F.count("*").alias("bad"), F.count_if(~F.col("kept")).alias("rejected")).collect()}
     assert len(rates) == 4 and all(rejected >= 0.9 * bad > 0 for bad, rejected in rates.values()), rates
 
@@ -132,10 +138,10 @@ def test_line_dedup_uses_no_python(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-@pytest.mark.parametrize("name", ["op2_line_dedup", "op3_warc_zip"])
-def test_sql(spark, sf_dir, name):
+@pytest.mark.parametrize("name, sf_dir", [("op1_quality_rules", "/root/testdata/sf0.01"), ("op1_quality_rules", "/root/testdata/sf0.1"), ("op2_line_dedup", "/root/testdata/sf0.001"), ("op3_warc_zip", "/root/testdata/sf0.001")])
+def test_sql(spark, name, sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"create view {t} as from read_parquet('{sf_dir}/{t}.parquet')")
     want = con.execute(queries.ORACLE_SQL[name])
     cols = [c[0] for c in want.description]
