@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .arrow import pieces
 
 BUCKETS = 1 << 16
+#: Bytes of a text that are turned into features at once; a longer text takes no more memory.
+_BLOCK = 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -34,9 +36,23 @@ _SHAPE = np.array([1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 or b > 127 else 3
 
 def features(text: str | None) -> np.ndarray:
     """Bucket numbers of a text's features, repeats included; none for a null or empty text."""
-    b = np.frombuffer((text or "").encode(), np.uint8)
-    if not len(b):
-        return np.zeros(0, np.int64)
+    found = [*_features((text or "").encode())]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _features(raw: bytes) -> Iterator[np.ndarray]:
+    """Features of a text in blocks of at most ``_BLOCK`` bytes, cut after white space where there is any: n-grams and pairs do not cross a cut."""
+    at = 0
+    while at < len(raw):
+        end = at + _BLOCK
+        if end < len(raw):
+            end = max(raw.rfind(c, at, end) for c in (b" ", b"\n", b"\t")) + 1 or end
+        yield _block_features(raw[at:end])
+        at = end
+
+
+def _block_features(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
     x = b.astype(np.uint64)
     out = []
     if len(b) >= 3:
@@ -69,8 +85,10 @@ class Model:
     bias: float
 
     def score(self, text: str | None) -> float:
-        f = features(text)
-        z = self.bias + (float(self.weights[f].mean()) if len(f) else 0.0)
+        total, n = 0.0, 0
+        for f in _features((text or "").encode()):
+            total, n = total + float(self.weights[f].sum()), n + len(f)
+        z = self.bias + (total / n if n else 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -104,21 +122,26 @@ def fit(
     """Trains on the whole texts of at most ``sample`` labelled rows, those with the smallest hash of their id.
 
     What comes to the driver is, for each of them, its distinct buckets (``BUCKETS`` at most) and their shares, and the
-    label.  Rows with a null id or label are left out; a label other than 0 counts as 1.  With no rows the model
-    scores everything 0.5.
+    label.  Rows with a null id or label are left out; a label other than 0 counts as 1; of documents that repeat an id
+    the least text is taken.  With no rows the model scores everything 0.5.
     """
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("label"))
         .orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     )
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "label")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             at, share = [], []
             for t in b.column(1).to_pylist():
-                f, n = np.unique(features(t), return_counts=True)
+                counts = np.zeros(BUCKETS, np.int64)
+                for f in _features((t or "").encode()):
+                    counts += np.bincount(f, minlength=BUCKETS)
+                f = np.flatnonzero(counts)
+                n = counts[f]
                 at.append(f.astype("<u2").tobytes())
                 share.append((n / max(1, n.sum())).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(at, pa.binary()), pa.array(share, pa.binary())], ["id", "label", "at", "share"])

@@ -1,13 +1,14 @@
 """Tables that lineage is cut at, in the folder that driver and executors share.
 
-The folder is ``spark.checkpoint.dir``.  Where the session leaves it unset (tests on one machine), a
-folder under the system's temporary one is set for the session.  What is written there stays for as long as
+The folder is ``spark.checkpoint.dir``.  Where a session on one machine leaves it unset (tests), a folder under the
+system's temporary one is set for the session; on a cluster that is an error, as executors share no such folder.  What is written there stays for as long as
 the session may read it (results are lazy) and goes when the Python process ends, or with ``clean``.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new, unused URI below the shared folder."""
     base = spark.conf.get(_KEY, None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {_KEY} to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="driftwell-")
         spark.conf.set(_KEY, base)
     path = f"{base.rstrip('/')}/driftwell-{uuid.uuid4().hex}"

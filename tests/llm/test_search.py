@@ -12,7 +12,7 @@ import pytest
 from common import DOCS, LONG, TEXTS, clashing, docs
 
 import corpus_pipeline
-from driftwell.llm import classifier, nn_descent, queries, suffix_dedup, warc_zip
+from driftwell.llm import classifier, nn_descent, queries, shared, suffix_dedup, warc_zip
 
 BIG = "<html>" + "y" * 200 + "</html>"
 PAGES = [(1, "http://a/1", "<p>é</p>"), (2, None, None), (3, "u", BIG), (4, "u\nv", BIG), (4, "u", BIG), (2, "w", BIG), (None, "n", BIG), (6, "s", "<p>é</p>"), (7, "", LONG), (8, "", ""), (9, "q", "a\r\n\r\nb" * 30)]
@@ -92,6 +92,34 @@ def test_classifier_edges(spark):
     assert classifier.predict(spark.createDataFrame([], DOCS), none).count() == 0
 
 
+def test_long_texts_are_read_in_blocks(monkeypatch):
+    text = "One long text, two long texts. " * 400
+    whole = classifier.features(text)
+    monkeypatch.setattr(classifier, "_BLOCK", 310)
+    cut = classifier.features(text)
+    assert set(cut) == set(whole) and len(whole) * 0.95 < len(cut) < len(whole)
+    assert len(classifier.features("x" * 1000)) > 900
+
+
+def test_one_document_of_each_id_is_learned_from(spark):
+    d = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other words")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    one = spark.createDataFrame([(1, "text 0"), (2, "other words")], "doc_id bigint, text string")
+    assert (classifier.fit(d, labels).weights == classifier.fit(one, labels).weights).all()
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="share"):
+        shared.shared_dir(Session)
+
+
 def plain_repeats(rows, length=100):
     """(id, removed, spans, kept) with every window looked up."""
     order = sorted(rows, key=lambda r: r[0])
