@@ -5,17 +5,19 @@ Equal windows have equal anchors at equal places, so suffixes need only be bucke
 position in 35.  Buckets are named by bucket identifiers of their parts, built by doubling: 8-grams as integers, then
 the pair of identifiers at i and i+8, i+16, i+32, ... stands for twice the length.
 
-1. Each task buckets the anchors of its documents by (32-gram, all bytes of the windows that the anchor stands for).
+1. 32-grams with very many buckets (a passage that many documents share, each in other surroundings) are counted
+   first, in a sketch of bounded size a task; the widest ones are known to all tasks.
+2. Each task buckets the anchors of its documents by (32-gram, all bytes of the windows that the anchor stands for).
    Of a bucket only the first member goes on, the others are repeats already and may go to any task; so a passage in
    very many documents is a row a task.
-2. Anchors are shuffled by their 32-gram and buckets merged: all but the first of a bucket are repeats.  A 32-gram with
-   one bucket is done; the first members of several buckets may still share some of their windows.
-3. For those the bytes around the anchor are fetched and the bucket of each 32-gram is refined by sorting on bucket
+3. Anchors are shuffled by their 32-gram, those of wide ones by 32-gram and bucket, and buckets merged: all but the
+   first of a bucket are repeats.  A 32-gram with one bucket is done; the first members of several buckets may still
+   share some of their windows.
+4. For those the bytes around the anchor are fetched and the bucket of each 32-gram is refined by sorting on bucket
    pointers of later offsets (8, 16, 32, 64, then the whole window), pointers of one round naming pairs in the next;
-   windows alone in their bucket leave after each round.  A 32-gram with very many buckets (a passage that many
-   documents share, each in other surroundings) is not brought into one task: its windows are bucketed one by one,
-   in each task first, and dealt by window.
-4. Repeated windows are joined to their documents and their bytes cut out.
+   windows alone in their bucket leave after each round.  The members of a wide 32-gram do not meet in one task: each
+   task names the buckets of their windows by the same doubling, and windows meet by their last bucket.
+5. Repeated windows are joined to their documents and their bytes cut out.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ LENGTH = 100
 _Q = 32
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 1 << 20
-#: Members of a 32-gram beyond which its windows are dealt one by one.
-_WIDE = 1000
+#: Buckets from which a 32-gram is wide, how many wide ones are known to all tasks (the widest), and the size of a task's sketch.
+#: A 32-gram that is not known has at most about that many buckets, or this share of all, and three more for each task.
+_WIDE, _KNOWN = 1000, 1 << 18
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,64 +116,106 @@ def _distinct(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return order[_first(order, *keys)]
 
 
-def _sample(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Step 1 over chunks of about a MB of texts (a longer text is a chunk of its own)."""
-
-    def chunk(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows = list(dict.fromkeys(sorted(rows, key=lambda r: r[:2])))
-        sizes = np.array([len(r[2]) for r in rows], np.int64)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        at, begin, end, gram, content = anchors(np.frombuffer(b"".join(r[2] for r in rows), np.uint8), starts, ends, length)
-        if not len(at):
-            return
-        order = np.lexsort((at, content, gram))
-        new = _first(order, gram, content)
-        doc = np.searchsorted(ends, at[order], "right")
-        at, begin, end = at[order] - starts[doc], begin[order] - starts[doc], end[order] - starts[doc]
-        ids, versions = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
-        place = at << 16 | (at - begin) << 8 | (at - end)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (gram[order].view(np.int64), content[order].view(np.int64), ids[doc], versions[doc], place, ~new)],
-            ["gram", "content", "id", "version", "place", "again"],
-        )
-
+def _chunks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tuple]]:
+    """(id, version, text) of about a MB of texts in order (a longer text is a chunk of its own)."""
     rows, held = [], 0
     for b in pieces(batches):
         for i, v, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if t is None or len(t) < length:
                 continue
             if held and held + len(t) > _CHUNK:
-                yield from chunk(rows)
+                yield list(dict.fromkeys(sorted(rows, key=lambda r: r[:2])))
                 rows, held = [], 0
             rows.append((i, v, t))
             held += len(t)
     if rows:
-        yield from chunk(rows)
+        yield list(dict.fromkeys(sorted(rows, key=lambda r: r[:2])))
+
+
+def _anchors_of(rows: list[tuple], length: int) -> tuple[np.ndarray, ...]:
+    """What ``anchors`` finds in a chunk, and where each text starts and ends."""
+    sizes = np.array([len(r[2]) for r in rows], np.int64)
+    ends = np.cumsum(sizes)
+    return *anchors(np.frombuffer(b"".join(r[2] for r in rows), np.uint8), ends - sizes, ends, length), ends - sizes, ends
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Step 1: 32-grams with several buckets in a task, and how many; too low by less than the task's rows / ``_KNOWN``."""
+    kept, counts, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def fold() -> None:
+        nonlocal kept, counts
+        kept, of = np.unique(np.concatenate([kept, *held]), return_inverse=True)
+        counts = np.bincount(of, np.append(counts, np.ones(len(of) - len(counts), np.int64))).astype(np.int64)
+        held.clear()
+        if len(kept) > _KNOWN:
+            counts -= np.partition(counts, -_KNOWN - 1)[-_KNOWN - 1]
+            kept, counts = kept[counts > 0], counts[counts > 0]
+
+    for rows in _chunks(batches, length):
+        _, _, _, gram, content, *_ = _anchors_of(rows, length)
+        order = np.lexsort((content, gram))
+        held.append(gram[order[_first(order, gram, content)]])
+        if len(held) == 16:
+            fold()
+    if held:
+        fold()
+    kept, counts = kept[counts > 3], counts[counts > 3]
+    yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(counts)], ["gram", "n"])
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2 over the anchors of a task, which has the first members of a 32-gram; ``refine`` 1: by 32-gram, 2: by window."""
-    tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-    if not tables:
-        return
-    t = pa.concat_tables(tables)
-    gram, content, ids, version, place, again = (t[c].to_numpy() for c in ("gram", "content", "id", "version", "place", "again"))
-    order = _distinct(np.lexsort((place, version, ids, again, content, gram)), gram, content, again, ids, version, place)
-    new = _first(order, gram, content)
-    head = _first(order, gram)
-    group = np.cumsum(head) - 1
-    classes = np.bincount(group, weights=new)[group]
-    gone = ~new | again[order]
-    refine = np.where(~gone & (classes > 1), np.where(classes > _WIDE, 2, 1), 0).astype(np.int8)
-    at = np.flatnonzero(gone | (refine > 0))
-    for i in range(0, len(at), 200_000):
-        o = order[at[i : i + 200_000]]
+def wide_grams(docs: DataFrame, length: int) -> np.ndarray:
+    """The widest 32-grams with at least ``_WIDE`` buckets, ``_KNOWN`` at most, sorted."""
+    found = docs.mapInArrow(lambda b: _sketch(b, length), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    widest = found.where(F.col("n") >= _WIDE).orderBy(F.desc("n"), "gram").limit(_KNOWN).select("gram").toArrow()
+    return np.sort(widest["gram"].to_numpy().view(np.uint64))
+
+
+def _sample(batches: Iterator[pa.RecordBatch], length: int, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Step 2; a row's ``role`` is 1 for a repeat, 2 for the first member of a bucket of a wide 32-gram, else 0."""
+    for rows in _chunks(batches, length):
+        at, begin, end, gram, content, starts, ends = _anchors_of(rows, length)
+        if not len(at):
+            continue
+        order = np.lexsort((at, content, gram))
+        new = _first(order, gram, content)
+        doc = np.searchsorted(ends, at[order], "right")
+        at, begin, end, gram = at[order] - starts[doc], begin[order] - starts[doc], end[order] - starts[doc], gram[order]
+        ids, versions = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
+        place = at << 16 | (at - begin) << 8 | (at - end)
+        known = wide[np.minimum(np.searchsorted(wide, gram), len(wide) - 1)] == gram if len(wide) else np.zeros(len(gram), bool)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x[o]) for x in (gram, ids, version, place)] + [pa.array(refine[at[i : i + 200_000]])], ["gram", "id", "version", "place", "refine"]
+            [pa.array(x) for x in (gram.view(np.int64), content[order].view(np.int64), ids[doc], versions[doc], place, np.where(new, 2 * known, 1).astype(np.int8))],
+            ["gram", "content", "id", "version", "place", "role"],
         )
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 3 over anchors sorted by 32-gram, first members of a bucket in one task; ``refine`` 1: by 32-gram, 2: by window."""
+
+    def some(t: pa.Table) -> pa.RecordBatch:
+        gram, content, ids, version, place, role = (t[c].to_numpy() for c in ("gram", "content", "id", "version", "place", "role"))
+        again = role == 1
+        order = _distinct(np.lexsort((place, version, ids, again, content, gram)), gram, content, again, ids, version, place)
+        new = _first(order, gram, content)
+        group = np.cumsum(_first(order, gram)) - 1
+        classes = np.bincount(group, weights=new)[group]
+        gone = ~new | again[order]
+        refine = np.where(gone, 0, np.where(role[order] == 2, 2, classes > 1)).astype(np.int8)
+        at = np.flatnonzero(gone | (refine > 0))
+        return pa.RecordBatch.from_arrays([pa.array(x[order[at]]) for x in (gram, ids, version, place)] + [pa.array(refine[at])], ["gram", "id", "version", "place", "refine"])
+
+    held, rows = [], 0
+    for t in whole_groups(batches, "gram"):
+        held.append(t)
+        rows += t.num_rows
+        if rows >= 100_000:
+            yield some(pa.concat_tables(held))
+            held, rows = [], 0
+    if held:
+        yield some(pa.concat_tables(held))
+
+
 def _pointers(keys: np.ndarray, where: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket pointers (1 and up; 0 where there is none) of the positions ``where``, and the size of each bucket."""
     _, of, sizes = np.unique(keys, return_inverse=True, return_counts=True)
@@ -208,7 +253,7 @@ def refined(raw: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> np.nd
 
 
 def _refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Step 3 over members and single windows: runs of windows that also start earlier."""
+    """Step 4 over members and single windows: runs of windows that also start earlier."""
 
     def some(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables(parts)
@@ -287,7 +332,7 @@ def _single_windows(rows: list[tuple], length: int) -> pa.RecordBatch:
     )
 
 
-_ANCHORS = "gram bigint, content bigint, id bigint, version int, place bigint, again boolean"
+_ANCHORS = "gram bigint, content bigint, id bigint, version int, place bigint, role tinyint"
 _MERGED = "gram bigint, id bigint, version int, place bigint, refine tinyint"
 _MEMBERS = "gram bigint, content bigint, id bigint, version int, start bigint, around binary, again boolean"
 
@@ -304,9 +349,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("windows of 96 to 128 bytes")
     n = partitions(df.sparkSession)
     docs = df.select(_id(id_col), _version(text_col), F.col(text_col).cast("binary").alias("text"))
-    merged = written(
-        docs.mapInArrow(lambda b: _sample(b, length), _ANCHORS).repartition(n, "gram", _anywhere("place")).mapInArrow(_merge, _MERGED)
-    )
+    wide = df.sparkSession.sparkContext.broadcast(wide_grams(docs, length))  # 8 bytes for each of at most _KNOWN
+    # repeats are spread, as no task needs them; first members meet by 32-gram, those of wide ones by bucket
+    meet = F.when(F.col("role") == 1, F.hash("id", "place")).when(F.col("role") == 2, F.hash("content")).otherwise(0)
+    anchored = docs.mapInArrow(lambda b: _sample(b, length, wide.value), _ANCHORS)
+    merged = written(anchored.repartition(n, "gram", meet).sortWithinPartitions("gram").mapInArrow(_merge, _MERGED))
     open_ = merged.where("refine > 0").groupBy("id", "version").agg(F.collect_list(F.struct("gram", "place", "refine")).alias("places"))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +379,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fields = pa.schema(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()), strict=True))
     members = (
         docs.join(open_, ["id", "version"]).mapInArrow(around, _MEMBERS)
-        .repartition(n, "gram", "content", _anywhere("start")).sortWithinPartitions("gram")
+        .repartition(n, "gram", "content", F.when(F.col("again"), F.hash("id", "start")).otherwise(0)).sortWithinPartitions("gram")
     )
     shared = members.mapInArrow(lambda b: _refine(b, length), "id bigint, version int, start bigint, end bigint")
     at = F.shiftright("place", 16)
@@ -350,11 +397,6 @@ def _version(name: str):
     return F.hash(name).alias("version")
 
 
-def _anywhere(name: str):
-    """0 for rows that must meet; rows that are repeats already are spread, as no task needs them."""
-    return F.when(F.col("again"), F.hash("id", name)).otherwise(0)
-
-
 _CUT = "struct<kept:binary,n_bytes:bigint,n_removed:bigint,n_spans:bigint>"
 
 

@@ -152,21 +152,30 @@ def repeated_texts(seed=4):
     return [*out, out[-1], "z" * 400, "ab" * 300, "q" * 99, "q" * 100, "q" * 101, say(20) + "z" * 150]
 
 
-@pytest.mark.parametrize("wide", [1000, 3])
+@pytest.mark.parametrize("wide", [1000, 4])
 def test_suffix_dedup_against_brute_force(spark, monkeypatch, wide):
     monkeypatch.setattr(suffix_dedup, "_WIDE", wide)
     rows = list(enumerate(repeated_texts(), 1))
     random.Random(1).shuffle(rows)
-    df = clashing(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), "kept", "n_bytes", "id", "spans", "cut", "row")
-    # the switch is read where tasks run, so the widths are set there too
-    run = suffix_dedup._merge
-    if wide != 1000:
-        def patched(batches):
-            suffix_dedup._WIDE = wide
-            return run(batches)
-        monkeypatch.setattr(suffix_dedup, "_merge", patched)
-    got = sorted((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.dedup_bytes(df).collect())
-    assert got == plain_repeats(rows)
+    for parts in (1, 5):
+        df = clashing(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts), "kept", "n_bytes", "id", "spans", "cut", "row", "gram")
+        if parts == 1:
+            known = suffix_dedup.wide_grams(df.selectExpr("doc_id as id", "hash(text) as version", "cast(text as binary) as text"), 100)
+            assert (len(known) > 0) == (wide == 4)
+        got = sorted((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.dedup_bytes(df).collect())
+        assert got == plain_repeats(rows)
+
+
+def test_sketch_finds_wide_grams_in_little_space(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_KNOWN", 2000)
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 20_000)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    passage = " ".join(word() for _ in range(30))
+    texts = [" ".join([*(word() for _ in range(40)), passage, *(word() for _ in range(40))]).encode() for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array([0] * 400, pa.int32()), pa.array(texts, pa.binary())], ["id", "version", "text"])
+    found = next(suffix_dedup._sketch(iter([batch]), 100))
+    assert 0 < found.num_rows < 2000 and max(found.column("n").to_pylist()) > 300
 
 
 def test_suffix_dedup_edges(spark):
@@ -178,15 +187,9 @@ def test_suffix_dedup_edges(spark):
     assert texts == {1: "é" * 50, 2: "xy"}
 
 
-@pytest.mark.parametrize("wide", [1000, 3])
+@pytest.mark.parametrize("wide", [1000, 4])
 def test_rows_that_repeat_id_and_text_are_one_document(spark, monkeypatch, wide):
-    run = suffix_dedup._merge
-
-    def patched(batches):
-        suffix_dedup._WIDE = wide
-        return run(batches)
-
-    monkeypatch.setattr(suffix_dedup, "_merge", patched)
+    monkeypatch.setattr(suffix_dedup, "_WIDE", wide)
     kept = lambda df: sorted((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.dedup_bytes(df).collect())
     for parts in (1, 2):
         df = spark.createDataFrame([(1, LONG), (1, LONG)], "doc_id bigint, text string").repartition(parts)
