@@ -35,6 +35,7 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: later stages restart from it, not from its inputs."""
     path = shared_dir(df.sparkSession)
     df.write.options(**options).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes the files of shuffles that nothing refers to any more
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
