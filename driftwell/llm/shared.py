@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -34,8 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: later stages restart from it, not from its inputs."""
     path = shared_dir(df.sparkSession)
-    df.write.options(**options).parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes the files of shuffles that nothing refers to any more
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")  # the shuffles of this write are of no use once the table is there
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
