@@ -15,14 +15,15 @@ def backend_status(remotes: DataFrame) -> DataFrame:
 
 
 def by_backend(manifest: DataFrame, remotes: DataFrame, backends: list[str]) -> DataFrame:
-    """A row for each path, a column for each backend: ok, pending, failed or unseeded."""
+    """A row for each path, a column for each backend: ok, pending, failed or unseeded; of rows that repeat a cell the least state."""
     cell = F.expr("case state when 'pending_retry' then 'pending' when 'failed_perm' then 'failed' else state end")
-    wide = remotes.groupBy("rel_path").pivot("backend", backends).agg(F.first(cell))
+    wide = remotes.groupBy("rel_path").pivot("backend", backends).agg(F.min(cell))
     out = manifest.where("rel_path is not null").select("rel_path").join(wide, "rel_path", "left")
     return out.select("rel_path", *[F.coalesce(b, F.lit("unseeded")).alias(b) for b in backends])
 
 
 def unseeded(manifest: DataFrame, remotes: DataFrame, backend: str) -> DataFrame:
+    """(rel_path): paths of the manifest without a state on the backend; null paths take no part."""
     return manifest.where("rel_path is not null").select("rel_path").join(remotes.where(F.col("backend") == backend), "rel_path", "left_anti")
 
 
@@ -41,4 +42,22 @@ def audit(manifest: DataFrame, remotes: DataFrame, backends: list[str]) -> DataF
 
 
 def quarantine(remotes: DataFrame) -> DataFrame:
+    """(backend, files, first_path): paths given up on each backend; a null path counts, but is not the first."""
     return remotes.where("state = 'failed_perm'").groupBy("backend").agg(F.count("*").alias("files"), F.min("rel_path").alias("first_path"))
+
+
+def live_matrix(states: DataFrame, listings: DataFrame, remotes: DataFrame, backends: list[str]) -> DataFrame:
+    """A row for each path, a column for each backend, from what each lists now.
+
+    ``states`` holds (rel_path, local_hash, synced_hash, known), ``listings`` (rel_path, backend).  A waiting or given-up
+    state goes first; a file that was never synced is ``new local``, one without a state on a backend ``unseeded``, one that
+    has a state but is not listed ``absent``, one that is gone here ``deleted``, one changed here ``local ahead``.
+    """
+    cells = states.where("rel_path is not null").select("*", F.explode(F.array(*map(F.lit, backends))).alias("backend"))
+    seen = cells.join(remotes.select("rel_path", "backend", "state"), ["rel_path", "backend"], "left").join(listings.select("rel_path", "backend", F.lit(True).alias("listed")).distinct(), ["rel_path", "backend"], "left")
+    cell = (
+        F.when(F.col("state") == "pending_retry", "pending").when(F.col("state") == "failed_perm", "failed").when(~F.col("known"), "new local")
+        .when(F.col("state").isNull(), "unseeded").when(F.col("listed").isNull(), "absent").when(F.col("local_hash").isNull(), "deleted")
+        .when(F.col("local_hash") != F.col("synced_hash"), "local ahead").otherwise("ok")
+    )
+    return seen.groupBy("rel_path").pivot("backend", backends).agg(F.min(cell))

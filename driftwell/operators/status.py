@@ -28,6 +28,7 @@ def three_way_status(local: DataFrame, remote: DataFrame, manifest: DataFrame) -
 
 
 def status_counts(states: DataFrame) -> DataFrame:
+    """(status, files)."""
     return states.groupBy("status").agg(F.count("*").alias("files"))
 
 
@@ -41,10 +42,12 @@ def _plan(states: DataFrame, buckets: dict[str, str], size: str) -> DataFrame:
 
 
 def push_plan(states: DataFrame) -> DataFrame:
+    """(bucket, files, bytes) of what a push uploads, deletes or finds in conflict; unknown sizes are 0."""
     return _plan(states, _PUSH, "local_size")
 
 
 def pull_plan(states: DataFrame) -> DataFrame:
+    """(bucket, files, bytes) of what a pull downloads or finds in conflict; unknown sizes are 0."""
     return _plan(states, _PULL, "remote_size")
 
 
@@ -52,3 +55,13 @@ def delete_plan(requested: DataFrame, remote: DataFrame, local: DataFrame) -> Da
     """(rel_path, bucket): where each requested path still is."""
     on = requested.select("rel_path").distinct().join(remote.select("rel_path", F.lit(1).alias("r")), "rel_path", "left").join(local.select("rel_path", F.lit(1).alias("l")), "rel_path", "left")
     return on.select("rel_path", F.expr("case when r = 1 and l = 1 then 'both' when r = 1 then 'remote_only' when l = 1 then 'local_only' else 'absent' end").alias("bucket"))
+
+
+def conflicts(found: DataFrame, new: DataFrame) -> DataFrame:
+    """(rel_path): the conflicts of a status and those that a guard has found since, each once."""
+    return found.where("status = 'conflict'").select("rel_path").union(new.where("not safe").select("rel_path")).distinct()
+
+
+def drive_fields(listing: DataFrame) -> DataFrame:
+    """The columns that a listing asks for, and no more."""
+    return listing.select("id", "name", "hash")

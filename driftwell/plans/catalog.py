@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftwell.functions import rules
+from driftwell.functions import rules, text
 from driftwell.operators import log, mirrors, snapshots, status, tree
+from driftwell.sources import json_files
 from driftwell.sources import tables as t
 
 _FILES = """
@@ -49,8 +50,8 @@ _SIZES = """
 sizes AS (SELECT array_to_string(p[1:i], '/') AS prefix, sum(coalesce(size, 0))::BIGINT AS size, count(*) AS file_count
   FROM (SELECT string_split(rel_path, '/') AS p, size FROM remote_files), LATERAL (SELECT unnest(range(0, len(p) + 1)) AS i) GROUP BY 1)"""
 _POLICY = {"last": 3, "daily": 5, "monthly": 4, "yearly": 2}
-_IGNORE = ["# generated", "*/de/", "!*/de/d1*.md", "/web/**/d?.md", "d*7.md"]
-_ROUTES = [("ops", ["click", "purchase"], r"^dir[0-3]/"), ("all", ["view", "click", "purchase", "signup", "logout"], r"\.md$"), ("one", ["view"], "^dir5/f1[.]md$")]
+_IGNORE = ["# generated", "*/de/", "!de/d[13]*.md", "/src1/**/d?.md", "d*[!0-6].md", "en/d1[0-4]?.md"]
+_ROUTES = [("ops", ["click", "purchase"], ["dir[0-3]/*", "dir6/f?.md"]), ("all", ["view", "click", "purchase", "signup", "logout"], []), ("one", ["view"], ["dir5/f1.md", "nowhere"]), ("none", ["view"], ["*.txt"])]
 _PASSWORD = r"(?i)(?:password|passwd|pwd|secret|token)\s*[:=]\s*[^\s]{4,}"
 
 
@@ -60,7 +61,7 @@ def _states(spark, sf):
 
 def _targets(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    return o.where("o_orderkey % 10 = 0").select(F.date_format(F.expr("o_orderdate - interval 12 hours"), "yyyy-MM-dd").alias("target")).distinct()
+    return o.select(F.date_format(F.expr("o_orderdate - interval 12 hours"), "yyyy-MM-dd").alias("target")).distinct()
 
 
 QUERIES = {
@@ -84,20 +85,23 @@ QUERIES = {
     "w04_prune": lambda s, d: snapshots.prune(t.snapshots(s, d), **_POLICY),
     "a22_history_counts": lambda s, d: snapshots.history_counts(t.snapshot_files(s, d)),
     "a01_stats_by_user": lambda s, d: log.stats(t.sync_events(s, d), "user", 20),
+    "a01_stats_by_backend": lambda s, d: log.stats(t.sync_events(s, d), "backend", backend="drive"),
+    "a01_stats_by_machine": lambda s, d: log.stats(t.sync_events(s, d), "machine"),
+    "a01_stats_totals": lambda s, d: log.totals(log.stats(t.sync_events(s, d), "user")),
     "a01_stats_by_action": lambda s, d: log.stats(t.sync_events(s, d), "action"),
     "a02_stats_by_day": lambda s, d: log.stats(t.sync_events(s, d), "day"),
     "p14_window_stats": lambda s, d: log.stats(log.between(t.sync_events(s, d), "2024-01-05 00:00:00", "2024-01-12 12:00:00"), "machine"),
     "a05_presence": lambda s, d: log.presence(t.sync_events(s, d)),
     "w10_cursor": lambda s, d: log.after_cursor(t.sync_events(s, d), user="u7", action="click").select("ord", "user", "action"),
-    "n02_capped_files": lambda s, d: t.sync_events(s, d).select("ord", F.array_join(log.capped_files(), "|").alias("files")),
+    "n02_capped_files": lambda s, d: t.many_files(s, d).select("ord", F.md5(F.array_join(json_files.capped_files(F.col("files")), "|")).alias("files"), F.array_join(F.transform(json_files.capped_resolved(F.col("resolved")), lambda x: x["path"]), "|").alias("resolved")),
     "j16_routes": lambda s, d: log.routed(t.sync_events(s, d), _ROUTES).select("ord", "route", F.array_join("files", "|").alias("files")),
     "a06_directory_sizes": lambda s, d: tree.rollup(t.remote_files(s, d)),
     "n01_largest_paths": lambda s, d: tree.largest(t.remote_files(s, d), 25),
     "n04_sibling_rank": lambda s, d: tree.sibling_rank(t.remote_files(s, d)),
     "n11_children": lambda s, d: tree.children(t.remote_files(s, d), ""),
     "j17_ignore_rules": lambda s, d: t.remote_files(s, d).where("rel_path is not null").select("rel_path", rules.ignored(F.col("rel_path"), _IGNORE).alias("ignored")),
-    "p09_glob_filter": lambda s, d: t.remote_files(s, d).where(F.col("rel_path").rlike(rules.fnmatch_regex("*/en/d[1-3]*.md"))).select("rel_path"),
-    "f05_human_size": lambda s, d: t.remote_files(s, d).where("rel_path is not null").select("rel_path", rules.human_size(F.col("size") * 1000).alias("size")),
+    "p09_glob_filter": lambda s, d: t.remote_files(s, d).where(F.col("rel_path").rlike(rules.fnmatch_regex("*/[!d]?/d[1-3]*[^0].md"))).select("rel_path"),
+    "f05_human_size": lambda s, d: t.remote_files(s, d).where("rel_path is not null").select("rel_path", text.human_size(F.col("size") * 1000).alias("size")),
     "f11_blob_shards": lambda s, d: t.blobs(s, d)[0].select(rules.shard(F.col("h")).alias("path")),
     "f17_password_findings": lambda s, d: t.texts(s, d).select("doc_id", F.regexp_count("text", F.lit(_PASSWORD)).cast("bigint").alias("findings")).where("findings > 0"),
 }
@@ -133,7 +137,7 @@ ORACLE_SQL = {
     "j05_restore_plan": f"""WITH {_FILES} SELECT rel_path AS path, CASE WHEN synced_hash IS NOT NULL AND synced_hash NOT IN (SELECT h FROM base WHERE doc_id % 3 <> 0 AND h IS NOT NULL) THEN 'missing-blob' ELSE 'restore' END AS action FROM manifest""",
     "j11_snapshot_diff": f"""WITH {_SNAPS} SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.hash IS NOT DISTINCT FROM b.hash THEN 'unchanged' ELSE 'modified' END AS change
         FROM (SELECT * FROM files WHERE timestamp = '1995-03') a FULL JOIN (SELECT * FROM files WHERE timestamp = '1995-04') b ON a.path = b.path""",
-    "j13_as_of": f"""WITH {_SNAPS}, targets AS (SELECT DISTINCT strftime(o_orderdate - INTERVAL 12 HOURS, '%Y-%m-%d') AS target FROM orders WHERE o_orderkey % 10 = 0)
+    "j13_as_of": f"""WITH {_SNAPS}, targets AS (SELECT DISTINCT strftime(o_orderdate - INTERVAL 12 HOURS, '%Y-%m-%d') AS target FROM orders)
         SELECT target, timestamp FROM targets ASOF LEFT JOIN snaps ON target >= timestamp""",
     "w01_version_labels": f"""WITH {_SNAPS}, firsts AS (SELECT path, hash, min(timestamp) AS first FROM files GROUP BY 1, 2), n AS (SELECT path, hash, row_number() OVER (PARTITION BY path ORDER BY first, hash) AS v FROM firsts)
         SELECT path, timestamp, 'v' || v AS version FROM files JOIN n USING (path, hash)""",
@@ -141,6 +145,9 @@ ORACLE_SQL = {
     "w04_prune": f"WITH {_SNAPS} SELECT timestamp FROM snaps WHERE tag IS NULL AND timestamp NOT IN (SELECT timestamp FROM keep)",
     "a22_history_counts": f"WITH {_SNAPS} SELECT path, count(DISTINCT hash) AS versions, count(*) AS appearances FROM files GROUP BY 1",
     "a01_stats_by_user": _stats_sql('"user"', tail="ORDER BY events DESC, key LIMIT 20"),
+    "a01_stats_by_backend": _stats_sql("'drive'"),
+    "a01_stats_by_machine": _stats_sql("machine"),
+    "a01_stats_totals": f"WITH {_LOG} SELECT count(*) AS events, sum(len(files))::BIGINT AS files, sum(conflicts)::BIGINT AS conflicts FROM log",
     "a01_stats_by_action": _stats_sql("action"),
     "a02_stats_by_day": _stats_sql("strftime(ts, '%Y-%m-%d')"),
     "p14_window_stats": _stats_sql("machine", "ts BETWEEN '2024-01-05 00:00:00' AND '2024-01-12 12:00:00'"),
@@ -151,19 +158,20 @@ ORACLE_SQL = {
         few AS (SELECT "user", machine, string_agg(file, '|' ORDER BY n) AS recent_files FROM k WHERE n <= 5 GROUP BY 1, 2)
         SELECT h."user", h.machine, action, strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_seen, recent_files FROM head h LEFT JOIN few ON few."user" = h."user" AND few.machine = h.machine WHERE r = 1""",
     "w10_cursor": f"""WITH {_LOG} SELECT ord, "user", action FROM log WHERE ord > coalesce((SELECT min(ord) FROM log WHERE "user" = 'u7' AND action = 'click'), -1)""",
-    "n02_capped_files": f"WITH {_LOG} SELECT ord, array_to_string(CASE WHEN len(files) > 2 THEN list_append(files[1:2], '... and ' || (len(files) - 2) || ' more') ELSE files END, '|') AS files FROM log",
+    "n02_capped_files": f"""WITH {_LOG} SELECT ord, md5(array_to_string(CASE WHEN n > 100 THEN list_append(f[1:100], '... and ' || (n - 100) || ' more') ELSE f END, '|')) AS files,
+        array_to_string(CASE WHEN n > 100 THEN list_append(f[1:100], '... and ' || (n - 100) || ' more') ELSE f END, '|') AS resolved FROM (SELECT ord, 95 + ord % 20 AS n, list_transform(range(1, 96 + ord % 20), lambda i: 'f' || i) AS f FROM log)""",
     "j16_routes": f"""WITH {_LOG}, r AS (
-        SELECT ord, 'ops' AS route, list_filter(files, lambda x: regexp_matches(x, '^dir[0-3]/')) AS f FROM log WHERE action IN ('click', 'purchase')
-        UNION ALL SELECT ord, 'all', list_filter(files, lambda x: regexp_matches(x, '\\.md$')) FROM log WHERE action IN ('view', 'click', 'purchase', 'signup', 'logout')
+        SELECT ord, 'ops' AS route, list_filter(files, lambda x: regexp_matches(x, '^dir[0-3]/|^dir6/f.\\.md$')) AS f FROM log WHERE action IN ('click', 'purchase')
+        UNION ALL SELECT ord, 'all', files FROM log WHERE action IN ('view', 'click', 'purchase', 'signup', 'logout')
         UNION ALL SELECT ord, 'one', list_filter(files, lambda x: x = 'dir5/f1.md') FROM log WHERE action = 'view')
         SELECT ord, route, array_to_string(f, '|') AS files FROM r WHERE len(f) > 0""",
     "a06_directory_sizes": f"WITH {_FILES}, {_SIZES} SELECT prefix, size, file_count FROM sizes",
     "n01_largest_paths": f"WITH {_FILES}, {_SIZES} SELECT prefix, size FROM sizes WHERE prefix <> '' ORDER BY size DESC, prefix LIMIT 25",
     "n04_sibling_rank": f"WITH {_FILES}, {_SIZES} SELECT prefix, row_number() OVER (PARTITION BY regexp_replace(prefix, '/?[^/]*$', '') ORDER BY size DESC, prefix) AS rank FROM sizes WHERE prefix <> ''",
     "n11_children": f"WITH {_FILES} SELECT DISTINCT split_part(rel_path, '/', 1) AS name FROM remote_files",
-    "j17_ignore_rules": f"""WITH {_FILES} SELECT rel_path, CASE WHEN regexp_matches(rel_path, '/d[^/]*7\\.md$') THEN true WHEN regexp_matches(rel_path, '^web/(.*)d[^/]\\.md$') THEN true
-        WHEN regexp_matches(rel_path, '^[^/]*/de/d1[^/]*\\.md$') THEN false WHEN regexp_matches(rel_path, '^[^/]*/de/') THEN true ELSE false END AS ignored FROM remote_files""",
-    "p09_glob_filter": f"WITH {_FILES} SELECT rel_path FROM remote_files WHERE regexp_matches(rel_path, '/en/d[1-3].*\\.md$')",
+    "j17_ignore_rules": f"""WITH {_FILES} SELECT rel_path, CASE WHEN regexp_matches(rel_path, '/en/d1[0-4][^/]\\.md$') THEN true WHEN regexp_matches(rel_path, '/d[^/]*[^0-6/]\\.md$') THEN true WHEN regexp_matches(rel_path, '^src1/.*d[^/]\\.md$') THEN true
+        WHEN regexp_matches(rel_path, '/de/d[13][^/]*\\.md$') THEN false WHEN regexp_matches(rel_path, '^[^/]*/de/') THEN true ELSE false END AS ignored FROM remote_files""",
+    "p09_glob_filter": f"WITH {_FILES} SELECT rel_path FROM remote_files WHERE regexp_matches(rel_path, '/[^d]./d[1-3].*[\\^0]\\.md$')",
     "f05_human_size": f"""WITH {_FILES} SELECT rel_path, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size
         FROM (SELECT rel_path, size * 1000 AS n FROM remote_files)""",
     "f11_blob_shards": f"WITH {_FILES} SELECT DISTINCT h[1:2] || '/' || h AS path FROM base WHERE h IS NOT NULL",

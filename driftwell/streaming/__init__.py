@@ -1,0 +1 @@
+"""Streams of the activity log."""
