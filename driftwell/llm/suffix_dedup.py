@@ -405,8 +405,8 @@ def _cut_udf():
 
     def run(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         out = []
-        for i, text in enumerate(texts.to_pylist()):
-            text = text or b""
+        for i in range(len(texts)):  # one text at a time, not all of a batch
+            text = texts[i].as_py() or b""
             if not starts[i].is_valid or not len(starts[i]):
                 out.append((text, len(text), 0, 0))
                 continue
@@ -435,6 +435,6 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """The rows of ``df`` with repeats cut out of their texts; bytes left of a character that a cut goes through go too."""
-    clean = F.arrow_udf(lambda x: pa.array([b.decode("utf-8", "ignore") for b in x.to_pylist()], pa.string()), "string")
+    clean = F.arrow_udf(lambda x: pa.array([b.as_py().decode("utf-8", "ignore") for b in x], pa.string()), "string")
     done = dedup_bytes(df, id_col, text_col, length)
     return done.select(*[(clean("kept") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in df.columns])
