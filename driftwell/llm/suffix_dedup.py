@@ -35,7 +35,7 @@ from .shared import partitions, written
 LENGTH = 100
 _Q = 32
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 #: Buckets from which a 32-gram is wide, how many wide ones are known to all tasks (the widest), and the size of a task's sketch.
 #: A 32-gram that is not known has at most about that many buckets, or this share of all, and three more for each task.
 _WIDE, _KNOWN = 1000, 1 << 18
@@ -117,7 +117,7 @@ def _distinct(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tuple]]:
-    """(id, version, text) of about a MB of texts in order (a longer text is a chunk of its own)."""
+    """(id, version, text) of about half a MB of texts in order (a longer text is a chunk of its own)."""
     rows, held = [], 0
     for b in pieces(batches):
         for i, v, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -294,7 +294,7 @@ def _refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     for t in whole_groups(batches, "gram"):
         held.append(t)
         rows += t.num_rows
-        if rows >= 20_000:
+        if rows >= 8_000:
             yield from some(held)
             held, rows = [], 0
     if held:
