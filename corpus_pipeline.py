@@ -30,19 +30,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates.
+    """One document, that with the smallest id, of each group of near copies (five words, similarity 0.8 or more).
 
     Of rows that repeat an id one stays, the least by its columns.  A row with a null id goes where a document with an id
     has its fingerprint; of other rows with null ids one of each fingerprint stays, the least by its columns.
     """
-    found = simhash.near_duplicates(docs).where("id <=> component")
+    found = simhash.near_copies(docs).where("id <=> component")
     first = written(found.select("id", F.expr("if(id is null, fp, null)").alias("fp")).groupBy("id", "fp").count())
     once, more, unnamed = (first.where(x) for x in ("id is not null and count = 1", "id is not null and count > 1", "id is null"))
     ids = lambda x: x.select(F.col("id").alias("doc_id"))
     row = F.struct(*docs.columns).alias("row")
     several = docs.join(ids(more), "doc_id", "left_semi").select(row).groupBy("row.doc_id").agg(F.min("row").alias("row"))
     null = docs.where("doc_id is null").select(row, "text")
-    null = simhash.fingerprints(null, "row").select("fp", F.col("id").alias("row")).groupBy("fp").agg(F.min("row").alias("row")).join(unnamed, "fp", "left_semi")
+    null = simhash.signatures(null, "row").select("fp", F.col("id").alias("row")).groupBy("fp").agg(F.min("row").alias("row")).join(unnamed, "fp", "left_semi")
     return docs.join(ids(once), "doc_id", "left_semi").select(*docs.columns).union(several.select("row.*")).union(null.select("row.*"))
 
 

@@ -289,7 +289,7 @@ def test_tiny_and_huge_vectors(spark):
 
 
 def test_pipeline_stages(spark, sf_dir):
-    from test_text_rules import plain_components, plain_fingerprint, plain_lines
+    from test_text_rules import plain_copies, plain_lines
     from test_tokens import check_packed
 
     from driftwell.llm import quality_rules
@@ -306,7 +306,7 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in a} == {r.doc_id for r in judged.where("kept").collect()}
     assert [(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in sorted(b, key=lambda r: r.doc_id)] == [(i, h) for i, _, _, h in sorted(plain_lines([(r.doc_id, r.text) for r in a]), key=lambda r: r[0])]
     assert all(r.n_chars == len(r.text) for r in b)
-    roots = plain_components([r.doc_id for r in b], [plain_fingerprint(r.text) for r in b])
+    roots = plain_copies([(r.doc_id, r.text) for r in b])
     assert {r.doc_id for r in c} == set(roots)
     cut = {i: (n, s) for i, _, n, s, _ in plain_repeats([(r.doc_id, r.text) for r in c])}
     for r in e:

@@ -217,3 +217,74 @@ def test_components_of_chains_stars_and_nothing(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**dict.fromkeys(range(100, 165), 100), **dict.fromkeys(range(1, 60), 1), 299: 299, 300: 299}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def plain_copies(rows, share=0.8):
+    """(id, component) by an exact join: equal sets of five-word shingles, or a Jaccard similarity of at least ``share``."""
+    sets, least = [], {}
+    for i, t in rows:
+        words = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append(frozenset(" ".join(words[j : j + 5]) for j in range(max(1, len(words) - 4))) if words else frozenset())
+        if i is not None:
+            least[sets[-1]] = min(i, least.get(sets[-1], i))
+    texts = list(least)
+    up = {i: i for i, _ in rows if i is not None}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    def join(a, b):
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+
+    where = {}
+    for n, s in enumerate(texts):
+        for g in s:
+            where.setdefault(g, []).append(n)
+    for n, s in enumerate(texts):
+        both = {}
+        for g in s:
+            for m in where[g]:
+                if m < n:
+                    both[m] = both.get(m, 0) + 1
+        for m, c in both.items():
+            if c >= share * (len(s) + len(texts[m]) - c) - 1e-9:
+                join(least[s], least[texts[m]])
+    for (i, _), s in zip(rows, sets, strict=True):
+        if i is not None:
+            join(i, least[s])
+    return [top(least[s]) if s in least else None for s in sets]
+
+
+def variants(rng, base, n, changes):
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for at in rng.sample(range(len(words)), changes):
+            words[at] = f"other{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1000, 4])
+def test_near_copies_against_an_exact_join(spark, hot):
+    import random
+
+    rng = random.Random(7)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(90000 + i, t) for i, t in enumerate(TEXTS)] + [(None, LONG), (None, "alone it stands"), (90000, None), (90010, "a second text of one id")]
+    at = 95000
+    for words, changes in ((300, 4), (120, 2), (80, 1), (2000, 30)):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        for t in variants(rng, base, 12, changes):
+            rows.append((at, t))
+            at += 1
+    passage = " ".join(f"shared{i}" for i in range(120))
+    rows += [(at + i, passage + " " + " ".join(f"own{i}x{j}" for j in range(100))) for i in range(30)]
+    df = clashing(spark.createDataFrame(rows, "doc_id bigint, text string"), "fp", "node", "id", "component", "keys", "grams", "hot")
+    want = sorted(zip([i for i, _ in rows], plain_copies(rows), strict=True), key=repr)
+    got = sorted(((r.id, r.component) for r in simhash.near_copies(df, hot=hot).collect()), key=repr)
+    assert got == want
+    assert simhash.near_copies(df.limit(0)).count() == 0
