@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .arrow import pieces, whole_groups
 from .components import connected_components
-from .shared import partitions, written
+from .shared import drop, partitions, written
 
 RADIUS = 3
 _SMALL = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -288,22 +288,25 @@ def near_copies(
         F.collect_list(F.struct((F.col("n") > hot).alias("hot"), "place", "way", "key", "n")).alias("found")
     ).select("fp", F.col("node").alias("id"), F.expr(
         f"filter(transform(sequence(0, {_ORDERS - 1}), w -> array_min(filter(found, x -> x.way = w))), x -> x is not null)").alias("shards"))
-    members = written(
-        prints.select("id", "fp", "grams").join(chosen, ["id", "fp"]).dropDuplicates(["id", "fp"])
-        .select(F.col("id").alias("node"), "fp", "grams", F.explode("shards").alias("s"))
-        .select("node", "fp", "grams", "s.hot", F.xxhash64("s.way", "s.key").alias("home"), F.when(
+    members = written(prints.select("id", "fp", "grams").join(chosen, ["id", "fp"]).dropDuplicates(["id", "fp"]).withColumnRenamed("id", "node"))
+    ids = written(prints.select("id", "fp"))
+    drop(prints)  # its hashes are half as large as the texts
+    placed = members.select("node", "fp", "grams", F.explode("shards").alias("s")).select(
+        "node", "fp", "grams", "s.hot", F.xxhash64("s.way", "s.key").alias("home"), F.when(
             F.col("s.hot"), F.pmod(F.xxhash64(F.lit("part"), "node"), F.ceil(F.col("s.n") / hot))).otherwise(0).alias("part"))
-    )
-    once = written(_checked_links(members.withColumn("shard", F.xxhash64("home", "part")), radius, similarity))
+    once = written(_checked_links(placed.withColumn("shard", F.xxhash64("home", "part")), radius, similarity))
     leaders = once.where("b is null").selectExpr("a as node", "home")
-    again = _checked_links(members.where("hot").join(leaders, ["node", "home"]).withColumn("shard", F.col("home")), radius, similarity)
+    again = written(_checked_links(placed.where("hot").join(leaders, ["node", "home"]).withColumn("shard", F.col("home")), radius, similarity))
+    drop(members)
     roots = connected_components(once.union(again).where("b is not null").select("a", "b").union(
         # fingerprints of one id are one document
-        prints.where("id is not null").join(nodes.select("fp", "node"), "fp").where("id <> node").select("id", "node")
+        ids.where("id is not null").join(nodes.select("fp", "node"), "fp").where("id <> node").select("id", "node")
         .join(nodes.select(F.col("node").alias("id")), "id", "left_semi").distinct()
     ))
+    for table in (once, again):
+        drop(table)
     parts = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
-    return prints.select("id", "fp").join(parts, "fp").select("id", "fp", "component")
+    return ids.join(parts, "fp").select("id", "fp", "component")
 
 
 def hex_fingerprint(fp: str = "fp"):
