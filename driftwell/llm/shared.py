@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -36,12 +37,16 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: later stages restart from it, not from its inputs."""
     path = shared_dir(df.sparkSession)
     conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")  # the shuffles of this write are of no use once the table is there
+    # the shuffles of this write are of no use once the table is there; batches of long texts must not fill a worker
+    ours = {_CLEANUP: "true"} | ({} if conf.get(_BATCH, None) else {_BATCH: str(4 << 20)})
+    before = {k: conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        conf.set(k, v)
     try:
         df.write.options(**options).parquet(path)
     finally:
-        conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            conf.set(k, v) if v is not None else conf.unset(k)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
