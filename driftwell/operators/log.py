@@ -104,8 +104,8 @@ def after_cursor(log: DataFrame, **key: str) -> DataFrame:
 ROUTE_ACTIONS, ROUTE_PATHS = ["push", "pull", "sync", "delete"], ["**/*"]
 
 
-def routed(log: DataFrame, routes: list[tuple[str, list[str], list[str]]]) -> DataFrame:
-    """(ord, route, files): events each route (name, actions, shell patterns) takes, with the files it asks for.
+def routed(log: DataFrame, routes: list[tuple[str, list[str], list[str]]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(ord, ``keep``, route, files): events each route (name, actions, shell patterns) takes, with the files it asks for.
 
     An event without files goes to every route of its action; one whose files all miss goes to none.  A route that names no
     actions or patterns has the usual ones.  Routes are configuration, a handful; one pass over the log makes a row for each
@@ -118,7 +118,8 @@ def routed(log: DataFrame, routes: list[tuple[str, list[str], list[str]]]) -> Da
         return F.when(F.col("action").isin(actions or ROUTE_ACTIONS), F.struct(F.lit(name).alias("route"), mine.alias("files")))
 
     taken = F.array(*[take(*route) for route in routes])
-    return log.select("ord", F.size(files).alias("n"), F.explode(F.array_compact(taken)).alias("r")).select("ord", "r.route", "r.files", "n").where("size(files) > 0 or n = 0").drop("n")
+    rows = log.select("ord", *keep, F.size(files).alias("_n"), F.explode(F.array_compact(taken)).alias("_r")).where("size(_r.files) > 0 or _n = 0")
+    return rows.select("ord", *keep, "_r.route", "_r.files")
 
 
 def routes_of(routes: list[dict] | None, legacy_url: str | None) -> list[dict]:

@@ -7,6 +7,7 @@ folders are listed in tasks, one level of the tree at a time.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,31 +16,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.functions import rules
+from driftwell.sources.commits import shared_dir
 
 
 def walk(spark: SparkSession, root: str, tasks: int = 64) -> DataFrame:
     """(rel_path, size, mtime_ns) of all files below ``root``, a path or URI that executors reach; links are followed.
 
-    There is a job for each level; a folder's name and no listing comes to the driver.  A root that is not there has no files.
+    There is a job for each level, whose listing is a table in the shared folder that the next level starts from; no listing
+    comes to the driver.  A folder that is one of those it was reached through (a link that leads back up) is left out, so
+    loops of links end.  A root that is not there has no files.
     """
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+        real = os.path.realpath if isinstance(place, pafs.LocalFileSystem) else lambda p: p
         for b in batches:
-            for folder in b["folder"]:
+            for folder, above in zip(b["folder"], b["above"]):
                 at = f"{base.rstrip('/')}/{folder}".rstrip("/")
-                found = place.get_file_info(pafs.FileSelector(at, allow_not_found=True))
-                prefix = f"{folder}/" if folder else ""
-                yield pd.DataFrame([(prefix + i.base_name, i.type == pafs.FileType.Directory, i.size, i.mtime_ns) for i in found], columns=["rel_path", "is_dir", "size", "mtime_ns"])
-
-    level, files = spark.createDataFrame([("",)], "folder string"), None
-    while True:
-        found = level.repartition(tasks).mapInPandas(entries, "rel_path string, is_dir boolean, size bigint, mtime_ns bigint").persist()
-        here = found.where("not is_dir").select("rel_path", "size", "mtime_ns")
-        files = here if files is None else files.union(here)
-        level = found.where("is_dir").select(F.col("rel_path").alias("folder"))
-        if level.isEmpty():
-            return files
+                prefix, through, rows = f"{folder}/" if folder else "", [*above, real(at)], []
+                for i in place.get_file_info(pafs.FileSelector(at, allow_not_found=True)):
+                    is_dir = i.type == pafs.FileType.Directory
+                    if not (is_dir and real(i.path) in through):
+                        rows.append((prefix + i.base_name, is_dir, i.size, i.mtime_ns, through if is_dir else None))
+                yield pd.DataFrame(rows, columns=["rel_path", "is_dir", "size", "mtime_ns", "above"])
+
+    kinds = "rel_path string, is_dir boolean, size bigint, mtime_ns bigint, above array<string>"
+    level, table, depth = spark.createDataFrame([("", [])], "folder string, above array<string>"), shared_dir(spark), 0
+    while not level.isEmpty():
+        level.repartition(tasks).mapInPandas(entries, kinds).write.parquet(f"{table}/level={depth}")
+        level = spark.read.schema(kinds).parquet(f"{table}/level={depth}").where("is_dir").select(F.col("rel_path").alias("folder"), "above")
+        depth += 1
+    return spark.read.schema(kinds).parquet(*[f"{table}/level={k}" for k in range(depth)]).where("not is_dir").select("rel_path", "size", "mtime_ns")
 
 
 def local_files(files: DataFrame, patterns: list[str], globs: list[str] = (), lines: list[str] = (), state: list[str] = (), rules_file: str | None = ".driftignore") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions import rules
 from driftwell.operators import log, snapshots, status, tree
-from driftwell.plans import catalog, rules_text, state_ops
+from driftwell.plans import catalog, durable, rules_text, state_ops
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def duck(sf_dir):
     return con
 
 
-ALL = {name: (query, part.ORACLE_SQL.get(name)) for part in (catalog, rules_text, state_ops) for name, query in part.QUERIES.items()}
+ALL = {name: (query, part.ORACLE_SQL.get(name)) for part in (catalog, rules_text, state_ops, durable) for name, query in part.QUERIES.items()}
 #: Queries that SQL cannot express; they are tested by themselves.
 NO_SQL = {"f19_redacted", "f20_file_findings", "s41_byte_ranges"}
 

@@ -70,6 +70,16 @@ def test_scans(spark, tmp_path):
     assert scan.walk(spark, f"{tmp_path}/gone").count() == 0
 
 
+def test_a_loop_of_links_ends(spark, tmp_path):
+    write(tmp_path, {"a/x.md": "1", "b/y.md": "22", "top.md": ""})
+    os.symlink(tmp_path, f"{tmp_path}/a/up")
+    os.symlink(f"{tmp_path}/b", f"{tmp_path}/a/over")
+    os.symlink(f"{tmp_path}/a", f"{tmp_path}/b/back")
+    os.symlink(f"{tmp_path}/b", f"{tmp_path}/b/self")
+    got = {r.rel_path for r in scan.walk(spark, str(tmp_path), tasks=2).collect()}
+    assert got == {"a/x.md", "a/over/y.md", "b/y.md", "b/back/x.md", "top.md"}
+
+
 def folded(rows):
     """The tries of each path and backend, one outcome after the other."""
     state, out = {}, []
@@ -107,6 +117,42 @@ def test_tries_of_a_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("rel_path", "backend", "ord", "state", "attempts").collect())) == folded(rows)
 
 
+def test_tries_of_a_stream_in_many_chunks(spark, tmp_path):
+    import random
+
+    rows = [("f", "a", i, "ok" if i % 37 == 0 else "pending_retry", f"h{i // 20 % 3}") for i in range(25_000)]
+    random.Random(1).shuffle(rows)
+    spark.createDataFrame(rows, OUTCOMES).coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(OUTCOMES).parquet(f"{tmp_path}/in")
+    feed.attempts(source).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("rel_path", "backend", "ord", "state", "attempts").collect())) == folded(rows)
+
+
+def test_tries_of_a_stream_out_of_order(spark, tmp_path):
+    import datetime as dt
+    import random
+
+    rows, rng = outcomes(), random.Random(8)
+    start = dt.datetime(2026, 1, 1)
+    timed = [(*r, start + dt.timedelta(seconds=r[2])) for r in rows]
+    late = sorted(timed, key=lambda r: r[2] + rng.randrange(120))  # up to two minutes late, across batches
+    kinds = OUTCOMES + ", ts timestamp"
+    for k in range(4):
+        spark.createDataFrame(late[100 * k : 100 * k + 100], kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    end = [("end", "a", 10**6, "ok", "h", start + dt.timedelta(days=1)), ("end", "a", 10**6 + 1, "ok", "h", start + dt.timedelta(days=2)), (*rows[0][:5], None)]
+    spark.createDataFrame(end, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        query = feed.attempts_in_order(source, "3 minutes").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start(f"{tmp_path}/out")
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(key)
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").where("rel_path <> 'end'").select("rel_path", "backend", "ord", "state", "attempts").collect()))
+    assert got == folded(rows)
+
+
 EVENTS = "ord bigint, ts timestamp_ntz, user string, machine string, action string, files array<string>"
 
 
@@ -116,16 +162,34 @@ def events(spark, n, first=0):
 
 
 def test_watching_once_a_run(spark, tmp_path):
-    run = lambda log_: sorted(r.ord for r in feed.watch_once(log_, f"{tmp_path}/mark", "w", "m0").collect())
+    def run(log_, name="w"):
+        seen = []
+        feed.watch_once(log_, f"{tmp_path}/mark", name, "m0", lambda df: seen.extend(sorted(r.ord for r in df.collect())))
+        return seen
+
     assert run(events(spark, 5)) == []  # the first run stores the end
     assert run(events(spark, 5)) == []
     assert run(events(spark, 9)) == [5, 7, 8]  # 6 is our own machine's
     assert run(events(spark, 12, 10)) == [10, 11]  # the log was cut: all of it comes again
-    with open(next(p for p in (tmp_path / "mark").iterdir() if p.name.startswith("part")), "w") as f:
-        f.write("{damaged")
-    assert run(events(spark, 12)) == []
-    empty = lambda log_: sorted(r.ord for r in feed.watch_once(log_, f"{tmp_path}/other", "w", "m0").collect())
-    assert empty(events(spark, 0 + 1).limit(0)) == [] and empty(events(spark, 3)) == [1, 2]
+    assert run(events(spark, 0 + 1).limit(0), "other") == [] and run(events(spark, 3), "other") == [1, 2]
+    (mark,) = [p for p in (tmp_path / "mark").iterdir() if p.name.startswith(feed._slug("w"))]
+    mark.write_text("{damaged")
+    assert run(events(spark, 12)) == [] and run(events(spark, 12)) == []
+
+
+def test_a_watcher_that_dies_sees_its_events_again(spark, tmp_path):
+    run = lambda log_, handle: feed.watch_once(log_, f"{tmp_path}/mark", "w", "mine", handle)
+    run(events(spark, 3), None)
+
+    def dies(df):
+        assert df.count() == 2
+        raise RuntimeError("before the events are read")
+
+    with pytest.raises(RuntimeError):
+        run(events(spark, 5), dies)
+    seen = []
+    run(events(spark, 5), lambda df: seen.extend(r.ord for r in df.collect()))
+    assert sorted(seen) == [3, 4]
 
 
 def test_following_the_log_shows_each_event_once(spark, tmp_path):
@@ -137,10 +201,24 @@ def test_following_the_log_shows_each_event_once(spark, tmp_path):
 
 
 def test_inbox_is_taken(spark, tmp_path):
-    box = f"{tmp_path}/inbox"
-    assert feed.take_inbox(spark, box).count() == 0
-    json_files.inbox_lines(spark.createDataFrame([("t", "x", "y")], "timestamp string, title string, message string")).write.mode("append").text(box)
-    assert json_files.inbox(feed.take_inbox(spark, box)).count() == 1 and feed.take_inbox(spark, box).count() == 0
+    box, lines = f"{tmp_path}/inbox", []
+    put = lambda x: json_files.inbox_lines(spark.createDataFrame([("t", x, "y")], "timestamp string, title string, message string")).write.mode("append").text(box)
+    take = lambda: feed.take_inbox(spark, box, lambda df: lines.append(sorted(r.title for r in json_files.inbox(df).collect())))
+    take()
+    assert lines == []
+    put("a")
+    take()
+    take()
+    assert lines == [["a"]]
+    put("b")
+    with pytest.raises(ZeroDivisionError):  # a taker that dies before it has read
+        feed.take_inbox(spark, box, lambda df: 1 // 0)
+    put("c")
+    kept = []
+    feed.take_inbox(spark, box, lambda df: (kept.append(df.count()), put("d"), take()))  # another take while the first one reads
+    assert kept == [2] and lines[1:] == [["b", "c", "d"]]
+    take()
+    assert len(lines) == 2 and os.listdir(tmp_path) == []
 
 
 def test_routes(spark):
