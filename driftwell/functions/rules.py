@@ -86,6 +86,28 @@ def ignore_regex(line: str) -> tuple[bool, bool, str] | None:
     return negated, folder, _FLAGS + head + _translated(line, "[^/]*", "[^/]", ".*") + r"(/.*)?$"
 
 
+def literal_runs(line: str) -> list[str]:
+    """What every path that an ignore rule takes holds, once slashes stand at both ends of the path.
+
+    A slash is added to a run that a name must start with; wildcards, and the slash that ``**`` takes, part runs.
+    """
+    line = line.rstrip().removeprefix("!").removesuffix("/")
+    line = line if line.startswith("/") else "/" + line
+    runs, i = [""], 0
+    while i < len(line):
+        if line[i] == "*":
+            double = line[i + 1 : i + 2] == "*"
+            i += 1 + double + (double and line[i + 2 : i + 3] == "/")
+            runs.append("")
+        elif line[i] == "?" or line[i] == "[" and _bracket(line, i):
+            i = i + 1 if line[i] == "?" else _bracket(line, i)[1]
+            runs.append("")
+        else:
+            runs[-1] += line[i]
+            i += 1
+    return [r for r in runs if r]
+
+
 def ignored(path: Column, lines: list[str]) -> Column:
     """Whether the last rule that matches takes the path out; slashes at the path's head do not count.  Null paths: false.
 

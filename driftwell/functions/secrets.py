@@ -1,7 +1,7 @@
 """Secrets in texts: where they are, and texts without them.
 
-A fused regex on the JVM's side tells which texts may hold any; only those go to Python, in Arrow batches, where offsets
-are found line by line.
+Texts are cut into lines on the JVM's side, where one fused regex tells which lines may hold a secret; only those lines go
+to Python, in Arrow batches, with their numbers, and what comes back is put in their place.
 """
 
 from __future__ import annotations
@@ -28,34 +28,60 @@ PATTERNS = [
     ("password-assignment", r"(?i)(?:^|[^A-Za-z0-9])(?:[A-Za-z0-9_]*?)(?:password|passwd|api[_-]?key|secret|token|auth)\b\s*[:=]\s*['\"]([^'\"\n\r]{6,})['\"]"),
     ("generic-high-entropy", r"(?i)(?:^|[^A-Za-z0-9])[A-Za-z_][A-Za-z0-9_]*(?:key|secret|token|cred(?:ential)?s?)\b\s*[:=]\s*['\"]?([A-Za-z0-9+/=_\-]{40,})['\"]?"),
 ]
-#: What every text with a secret holds, case aside.
-_HINT = r"(?i)AKIA|ASIA|gh[pousr]_|hooks\.slack|xox[baprs]-|sk-|AIza|PRIVATE KEY|eyJ|passw|api[_-]?key|secret|token|auth|key\b|cred"
+#: What every line with a secret holds, case aside; white space is any that a pattern takes.
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*"
+_HINT = (
+    r"(?iu)A[KS]IA[0-9A-Z]{16}|gh[pousr]_|hooks\.slack|xox[baprs]-|sk-|AIza|PRIVATE KEY|eyJ"
+    rf"|(?:password|passwd|api[_-]?key|secret|token|auth){_SPACE}[:=]{_SPACE}['\"]|(?:key|secret|token|creds?|credentials?){_SPACE}[:=]"
+)
+#: The same in short, for a line in lower case; it is looked for first, as that is much cheaper.
+_LETTERS = "a(?:kia|[s\u017f]ia|iza|pi|uth)|gh[pous\u017fr]_|hook[s\u017f]\\.|xox|[s\u017f](?:k-|ecret)|private key|eyj|pa[s\u017f][s\u017f]w|token|key|cred"
+#: Where a line ends and the next begins, the end itself left with its line; few texts have other ends than "\n".
+_ODD = r"[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+_ENDS = r"(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
 _KINDS = [(kind, re.compile(rx)) for kind, rx in PATTERNS]
 _MARKER = re.compile(r"<REDACTED:[a-z0-9-]+>")
 _FINDING = "array<struct<line_no:int,kind:string,column_start:int,column_end:int,raw_line:string,matched_text:string>>"
 
 
-def _found(text: str) -> list[tuple]:
-    out = []
-    for number, line in enumerate(text.splitlines(), 1):
-        spans: dict[tuple[int, int], str] = {}
-        for kind, rx in _KINDS:
-            for m in rx.finditer(line):
-                at = m.span(1 if rx.groups else 0)
-                if not _MARKER.fullmatch(line, *at):
-                    spans.setdefault(at, kind)
-        out += [(number, kind, *at, line, line[slice(*at)]) for at, kind in sorted(spans.items(), key=lambda x: (x[0][0], x[1]))]
-    return out
+def _found(line: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of a line's secrets, from left to right."""
+    spans: dict[tuple[int, int], str] = {}
+    for kind, rx in _KINDS:
+        for m in rx.finditer(line):
+            at = m.span(1 if rx.groups else 0)
+            if not _MARKER.fullmatch(line, *at):
+                spans.setdefault(at, kind)
+    return [(kind, *at) for at, kind in sorted(spans.items(), key=lambda x: (x[0][0], x[1]))]
 
 
-def _replaced(text: str, keep: set[tuple]) -> str:
-    """Each line from right to left; of two that overlap the one at the left stays as it is once the other has gone."""
-    lines = text.splitlines(keepends=True)
-    for number, kind, start, end, _, matched in reversed(_found(text)):
-        line = lines[number - 1]
-        if (number, start, end) not in keep and line[start:end] == matched:
-            lines[number - 1] = f"{line[:start]}<REDACTED:{kind}>{line[end:]}"
-    return "".join(lines)
+def _replaced(line: str, number: int, keep: set[tuple]) -> str:
+    """The line from right to left; of two that overlap the one at the left stays as it is once the other has gone."""
+    was = line
+    for kind, start, end in reversed(_found(line)):
+        if (number, start, end) not in keep and line[start:end] == was[start:end]:
+            line = f"{line[:start]}<REDACTED:{kind}>{line[end:]}"
+    return line
+
+
+def _lines(text: Column) -> Column:
+    """The text's lines; they keep their ends where the text has an odd one, else they are parted by "\n"."""
+    return F.when(text.rlike(_ODD), F.split(text, _ENDS)).otherwise(F.split(text, "\n"))
+
+
+def _bare(line: Column) -> Column:
+    return F.regexp_replace(line, r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]+\z", "")
+
+
+def _may_hold(line: Column) -> Column:
+    """Whether there may be a secret in a line."""
+    return F.lower(line).rlike(_LETTERS) & line.rlike(_HINT)
+
+
+def _doubtful(text: Column) -> Column:
+    """An array of (number from 1, line without its end) of the lines that may hold a secret."""
+    numbered = F.transform(_lines(text), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+    return F.transform(F.filter(numbered, lambda s: _may_hold(s["line"])), lambda s: F.struct(s["line_no"].alias("line_no"), _bare(s["line"]).alias("line")))
 
 
 def scan(text: Column) -> Column:
@@ -67,17 +93,28 @@ def scan(text: Column) -> Column:
 
     @F.pandas_udf(_FINDING)
     def run(texts: pd.Series) -> pd.Series:
-        names = ["line_no", "kind", "column_start", "column_end", "raw_line", "matched_text"]
-        return texts.map(lambda t: [dict(zip(names, f, strict=True)) for f in _found(t)])
+        one = lambda row: [
+            {"line_no": x["line_no"], "kind": kind, "column_start": a, "column_end": b, "raw_line": x["line"], "matched_text": x["line"][a:b]}
+            for x in (row if row is not None else ()) for kind, a, b in _found(x["line"])
+        ]
+        return texts.map(one)
 
-    return F.when(text.rlike(_HINT), run(F.when(text.rlike(_HINT), text).otherwise(""))).otherwise(F.array().cast(_FINDING))
+    return run(_doubtful(text))
 
 
 def findings(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The columns of ``df`` but the text, and a row for each finding; rows without one are left out."""
     rest = [c for c in df.columns if c != text_col]
-    may = df.where(F.col(text_col).rlike(_HINT))
-    return may.select(*rest, F.explode(scan(F.col(text_col))).alias("f")).select(*rest, "f.*")
+    lines = df.select(*rest, F.posexplode(_lines(F.col(text_col))).alias("_at", "_line")).where(_may_hold(F.col("_line")))
+    lines = lines.select(*rest, (F.col("_at") + 1).alias("line_no"), _bare(F.col("_line")).alias("raw_line"))
+
+    @F.pandas_udf("array<struct<kind:string,column_start:int,column_end:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: [dict(zip(("kind", "column_start", "column_end"), f)) for f in _found(x)])
+
+    each = lines.select(*rest, "line_no", "raw_line", F.explode(run(F.col("raw_line"))).alias("f"))
+    matched = F.substring("raw_line", F.col("f.column_start") + 1, F.col("f.column_end") - F.col("f.column_start"))
+    return each.select(*rest, "line_no", "f.kind", "f.column_start", "f.column_end", "raw_line", matched.alias("matched_text"))
 
 
 def findings_in_files(files: DataFrame, content: str = "content") -> DataFrame:
@@ -93,10 +130,18 @@ def redact(text: Column, keep: Column | None = None) -> Column:
     Doing it again changes nothing.  Null stays null.
     """
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("array<struct<line_no:int,line:string>>")
     def run(texts: pd.Series, kept: pd.Series) -> pd.Series:
-        spans = [set() if k is None else {tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in k} for k in kept]
-        return pd.Series([_replaced(t, k) for t, k in zip(texts, spans, strict=True)], dtype=object)
+        out = []
+        for row, k in zip(texts, kept, strict=True):
+            spans = set() if k is None else {tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in k}
+            out.append([{"line_no": x["line_no"], "line": _replaced(x["line"], x["line_no"], spans)} for x in (row if row is not None else ())])
+        return pd.Series(out, dtype=object)
 
     none = F.array().cast("array<struct<line:int,start:int,end:int>>")
-    return F.when(text.rlike(_HINT), run(F.when(text.rlike(_HINT), text).otherwise(""), none if keep is None else keep)).otherwise(text)
+    new = F.map_from_entries(run(_doubtful(text), none if keep is None else keep))
+    end = lambda x: F.regexp_extract(x, r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]*\z", 0)
+    old = F.map_from_entries(F.transform(_lines(text), lambda x, i: F.struct(i + 1, x)))
+    lines = F.map_values(F.map_zip_with(old, new, lambda _, was, now: F.coalesce(F.concat(now, end(was)), was)))
+    whole = F.when(text.rlike(_ODD), F.array_join(lines, "")).otherwise(F.array_join(lines, "\n"))
+    return F.when(F.size(new) > 0, whole).otherwise(text)

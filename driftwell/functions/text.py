@@ -323,3 +323,73 @@ def conflict_markers(local: Column, remote: Column) -> Column:
     """Both texts between markers, white space at their ends off."""
     bare = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+\z", "")
     return F.concat(F.lit("<<<<<<< LOCAL\n"), bare(local), F.lit("\n=======\n"), bare(remote), F.lit("\n>>>>>>> REMOTE\n"))
+
+
+_NUMBER = r"(?i)^\s*[+-]?(?:\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|inf|infinity)\s*$"
+
+
+def retry_after(*said: Column) -> Column:
+    """Seconds that a server asks to wait, from the first of some texts that is a number, never below 0; null where none is.
+
+    Dates are not read; what is no number says 0.
+    """
+    def one(text: Column) -> Column:
+        return F.when(text.rlike(_NUMBER), F.greatest(F.lit(0.0), F.trim(text).try_cast("double"))).when(text.rlike(r"(?i)^\s*[+-]?nan\s*$"), 0.0)
+
+    return F.coalesce(*[one(c) for c in said])
+
+
+def hash_in_response(response: Column) -> Column:
+    """The first word of a server's answer that is a digest (32 or more hexadecimal digits, colons around it aside), in lower case; null where none is.
+
+    A status number at the head is passed over, with what parts it from the rest.
+    """
+    bare = F.regexp_replace(F.regexp_replace(response, r"^\s+", ""), r"^[0-9]{3}[ -]*", "")
+    words = F.transform(F.split(bare, r"\s+"), lambda w: F.regexp_replace(w, "^:+|:+$", ""))
+    return F.lower(F.get(F.filter(words, lambda w: w.rlike("^[0-9a-fA-F]{32,}$")), 0))
+
+
+_VERSION = r"(?i)^\s*v?(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?(\d*))?(-\d+|[-_.]?(?:post|rev|r)[-_.]?\d*)?([-_.]?dev[-_.]?\d*)?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$"
+
+
+def version_key(version: Column) -> Column:
+    """A struct that sorts as versions do: epoch, numbers, then development, pre-, final and later releases, then local names; null for what is no version.
+
+    Zeros at the end of the numbers do not count; numbers of over 18 digits make it null.
+    """
+    part = lambda i: F.regexp_extract(version, _VERSION, i)
+    number = lambda text: F.coalesce(F.nullif(F.regexp_extract(text, r"(\d*)$", 1), F.lit("")), F.lit("0")).try_cast("bigint")
+    pre, post, dev, local = F.lower(part(3)), part(5), part(6), F.lower(part(7))
+    phase = F.when(pre.isin("a", "alpha"), 1).when(pre.isin("b", "beta"), 2).when(pre != "", 3).when((post == "") & (dev != ""), 0).otherwise(4)
+    release = F.transform(F.split(F.regexp_replace(part(2), r"(\.0+)+$", ""), r"\."), lambda x: x.try_cast("bigint"))
+    names = F.transform(F.filter(F.split(local, "[-_.]"), lambda x: x != ""), lambda x: F.struct(x.rlike(r"^\d+$").alias("number"), F.when(x.rlike(r"^\d+$"), x.try_cast("bigint")).otherwise(0).alias("n"), F.when(x.rlike(r"^\d+$"), "").otherwise(x).alias("name")))
+    key = F.struct(
+        F.coalesce(F.nullif(part(1), F.lit("")), F.lit("0")).try_cast("bigint").alias("epoch"), release.alias("release"), phase.alias("phase"), F.when(pre != "", number(part(4))).otherwise(0).alias("pre"),
+        F.when(post != "", number(post)).otherwise(-1).alias("post"), F.when(dev == "", 1 << 62).otherwise(number(dev)).alias("dev"), names.alias("local"),
+    )
+    sound = version.rlike(_VERSION) & key["epoch"].isNotNull() & ~F.exists(release, lambda x: x.isNull()) & key["pre"].isNotNull() & key["post"].isNotNull() & key["dev"].isNotNull()
+    return F.when(sound, key)
+
+
+def strictly_newer(remote: Column, current: Column) -> Column:
+    """Whether the remote version comes after the current one; false for no answer (empty or ``0.0.0``) and for what is no version."""
+    asked = (F.coalesce(remote, F.lit("")) != "") & (remote != "0.0.0")
+    return F.coalesce(asked & (version_key(remote) > version_key(current)), F.lit(False))
+
+
+#: The sign of each state of a backend.
+STATE_SIGNS = {"ok": "🟢", "pending": "🟡", "failed": "🔴"}
+
+
+def backend_line(name: Column, state: Column, pushed: Column, pending: Column, error: Column) -> Column:
+    """A backend's line in a chat message: its sign, and what was pushed, or the error and how many files wait; names and errors are made safe.
+
+    An unknown state has a sign of its own, and is named where nothing else is known.
+    """
+    sign = F.coalesce(*[F.when(state == k, v) for k, v in STATE_SIGNS.items()], F.lit("⚪"))
+    waits = F.coalesce(pending, F.lit(0))
+    some = F.when(waits > 0, F.concat(waits.cast("string"), F.when(waits == 1, " file").otherwise(" files"), F.lit(" pending retry")))
+    why = F.nullif(chat_safe(F.coalesce(error, F.lit(""))), F.lit(""))
+    detail = F.coalesce(F.concat(why, F.lit(" ("), some, F.lit(")")), why, some, F.nullif(state, F.lit("")), F.lit("unknown"))
+    said = F.when(state == "ok", F.concat(F.lit("pushed "), F.coalesce(pushed, F.lit(0)).cast("string"))).otherwise(detail)
+    return F.concat(F.lit("• "), sign, F.lit(" "), chat_safe(name), F.lit(" — "), said)

@@ -55,6 +55,15 @@ def health(checks: DataFrame) -> DataFrame:
     return checks.agg(F.coalesce(F.max(rank), F.lit(0)).alias("r")).select(F.element_at(F.array(F.lit("ok"), F.lit("warn"), F.lit("fail")), F.col("r") + 1).alias("status"))
 
 
+def report(checks: list[DataFrame]) -> DataFrame:
+    """(name, status, detail): all checks' rows of (name, status, detail), and one named ``overall`` with the worst status and how many checks there were."""
+    rows = reduce(DataFrame.unionAll, [c.select("name", "status", "detail") for c in checks])
+    rank = F.expr("case status when 'fail' then 2 when 'warn' then 1 when 'ok' then 0 end")
+    worst = rows.agg(F.coalesce(F.max(rank), F.lit(0)).alias("r"), F.count("*").alias("n"))
+    overall = worst.select(F.lit("overall").alias("name"), F.element_at(F.array(F.lit("ok"), F.lit("warn"), F.lit("fail")), F.col("r") + 1).alias("status"), F.concat(F.col("n").cast("string"), F.lit(" checks")).alias("detail"))
+    return rows.unionAll(overall)
+
+
 #: Hours since the last sync beyond which a project is warned of, and failed.
 WARN_HOURS, FAIL_HOURS = 24, 72
 

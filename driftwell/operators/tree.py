@@ -17,6 +17,31 @@ def rollup(files: DataFrame) -> DataFrame:
     )
 
 
+def rollup_changed(sums: DataFrame, changes: DataFrame) -> DataFrame:
+    """``rollup`` kept up to date: the sums (prefix, size, file_count) after changes (rel_path, old_size, new_size, was, is).
+
+    ``was`` and ``is`` say whether a file was there before and is there now; an unknown size is 0.  Signed differences go up
+    the folders of changed files only; what is left without files is gone, the root stays.  The work is that of the changes
+    and one join by prefix.
+    """
+    parts = F.filter(F.split("rel_path", "/"), lambda x: x != "")
+    size = F.when(F.col("is"), F.coalesce("new_size", F.lit(0))).otherwise(0) - F.when(F.col("was"), F.coalesce("old_size", F.lit(0))).otherwise(0)
+    moved = changes.where("rel_path is not null").select(parts.alias("parts"), size.alias("size"), (F.col("is").cast("bigint") - F.col("was").cast("bigint")).alias("n"))
+    up = moved.select(F.explode(F.expr("transform(sequence(0, size(parts)), i -> array_join(slice(parts, 1, i), '/'))")).alias("prefix"), "size", "n")
+    deltas = up.groupBy("prefix").agg(F.sum("size").alias("d_size"), F.sum("n").alias("d_n"))
+    both = sums.join(deltas, "prefix", "full_outer")
+    new = both.select("prefix", (F.coalesce("size", F.lit(0)) + F.coalesce("d_size", F.lit(0))).alias("size"), (F.coalesce("file_count", F.lit(0)) + F.coalesce("d_n", F.lit(0))).alias("file_count"))
+    return new.where("file_count <> 0 or prefix = ''")
+
+
+def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(rel_path, old_size, new_size, was, is) of files (rel_path, size) that came, went or changed their size; a path is in each once."""
+    side = lambda df, size, mark: df.where("rel_path is not null").select("rel_path", F.col("size").alias(size), F.lit(True).alias(mark))
+    both = side(before, "old_size", "was").join(side(after, "new_size", "is"), "rel_path", "full_outer")
+    both = both.select("rel_path", "old_size", "new_size", F.coalesce("was", F.lit(False)).alias("was"), F.coalesce("is", F.lit(False)).alias("is"))
+    return both.where("was <> is or not (old_size <=> new_size)")
+
+
 def largest(files: DataFrame, n: int) -> DataFrame:
     """The ``n`` largest paths, files and directories, ties by path."""
     return rollup(files).where("prefix <> ''").orderBy(F.desc("size"), "prefix").limit(max(0, n)).select("prefix", "size")

@@ -52,7 +52,6 @@ sizes AS (SELECT array_to_string(p[1:i], '/') AS prefix, sum(coalesce(size, 0)):
 _POLICY = {"last": 3, "daily": 5, "monthly": 4, "yearly": 2}
 _IGNORE = ["# generated", "*/de/", "!de/d[13]*.md", "/src1/**/d?.md", "d*[!0-6].md", "en/d1[0-4]?.md"]
 _ROUTES = [("ops", ["click", "purchase"], ["dir[0-3]/*", "dir6/f?.md"]), ("all", ["view", "click", "purchase", "signup", "logout"], []), ("one", ["view"], ["dir5/f1.md", "nowhere"]), ("none", ["view"], ["*.txt"])]
-_PASSWORD = r"(?i)(?:password|passwd|pwd|secret|token)\s*[:=]\s*[^\s]{4,}"
 
 
 def _states(spark, sf):
@@ -103,7 +102,6 @@ QUERIES = {
     "p09_glob_filter": lambda s, d: t.remote_files(s, d).where(F.col("rel_path").rlike(rules.fnmatch_regex("*/[!d]?/d[1-3]*[^0].md"))).select("rel_path"),
     "f05_human_size": lambda s, d: t.remote_files(s, d).where("rel_path is not null").select("rel_path", text.human_size(F.col("size") * 1000).alias("size")),
     "f11_blob_shards": lambda s, d: t.blobs(s, d)[0].select(rules.shard(F.col("h")).alias("path")),
-    "f17_password_findings": lambda s, d: t.texts(s, d).select("doc_id", F.regexp_count("text", F.lit(_PASSWORD)).cast("bigint").alias("findings")).where("findings > 0"),
 }
 
 
@@ -175,5 +173,4 @@ ORACLE_SQL = {
     "f05_human_size": f"""WITH {_FILES} SELECT rel_path, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size
         FROM (SELECT rel_path, size * 1000 AS n FROM remote_files)""",
     "f11_blob_shards": f"WITH {_FILES} SELECT DISTINCT h[1:2] || '/' || h AS path FROM base WHERE h IS NOT NULL",
-    "f17_password_findings": rf"SELECT doc_id, len(regexp_extract_all(text, '{_PASSWORD}'))::BIGINT AS findings FROM documents WHERE len(regexp_extract_all(text, '{_PASSWORD}')) > 0",
 }

@@ -116,13 +116,13 @@ QUERIES = {
     "f10_message_cells": lambda s, d: _docs(s, d).select("doc_id", text.message_cell(F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.col("text"))).alias("cell")),
     "f12_normal_paths": lambda s, d: _odd_paths(s, d).select("doc_id", rules.normal_path(F.col("p")).alias("path"), F.array_join(rules.path_parts(F.col("p")), "|").alias("parts"), rules.base_name(F.col("p")).alias("name")),
     "f14_listing_sizes": lambda s, d: _docs(s, d).select("doc_id", text.listing_size(F.when(F.col("doc_id") % 3 == 0, F.col("doc_id").cast("string")).when(F.col("doc_id") % 3 == 1, F.lit("12x"))).alias("size")),
-    "f15_binary": lambda s, d: _docs(s, d).select("doc_id", text.is_binary(F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text").cast("binary"), F.lit(b"\0"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(b"\xff\xfe"), F.col("text").cast("binary"))).otherwise(F.substring("text", 1, 100).cast("binary"))).alias("is_binary")),
-    "p20_eligible": lambda s, d: _docs(s, d).select("doc_id", text.eligible(F.when(F.col("doc_id") % 3 > 0, F.substring("text", 1, 50).cast("binary")), F.when(F.col("doc_id") % 5 > 0, F.when(F.col("doc_id") % 7 == 0, F.lit(b"\0x")).otherwise(F.lit(b"text")))).alias("eligible")),
+    "f15_binary": lambda s, d: _docs(s, d).select("doc_id", text.is_binary(F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text").cast("binary"), F.lit(b"\0"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(b"\xff\xfe"), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary"))).alias("is_binary")),
+    "p20_eligible": lambda s, d: _docs(s, d).select("doc_id", text.eligible(F.when(F.col("doc_id") % 3 > 0, F.col("text").cast("binary")), F.when(F.col("doc_id") % 5 > 0, F.when(F.col("doc_id") % 7 == 0, F.lit(b"\0x")).otherwise(F.lit(b"text")))).alias("eligible")),
     "f17_findings": lambda s, d: secrets.findings(_secret_texts(s, d)).select("doc_id", "line_no", "kind", "matched_text"),
     "f19_redacted": lambda s, d: _secret_texts(s, d).select("doc_id", F.md5(secrets.redact(F.col("text"))).alias("md5")),
     "f20_file_findings": lambda s, d: secrets.findings_in_files(_secret_texts(s, d).select("doc_id", F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 4 == 0, F.lit(b"\xff")).otherwise(F.lit(b""))).alias("content"))).groupBy("kind").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("files")),
     "f21_error_texts": lambda s, d: _urls(s, d).select("page_id", text.redacted_error(F.concat(F.lit("Token x.y-"), F.col("page_id").cast("string"), F.lit(" at "), F.replace("url", F.lit("://"), F.lit("://u:p@")), F.lit("&Token=abc&b=1 in /home/own/x "), F.repeat(F.lit("z"), (F.col("page_id") % 150).cast("int"))), "/home/own").alias("error")),
-    "f22_chat_texts": lambda s, d: _docs(s, d).select("doc_id", text.chat_safe(F.concat(F.substring("text", 1, 300), F.lit("‮*end*​<b>"))).alias("safe"), text.chat_action(F.concat(F.lit("go to HTTP://x.y/"), F.col("doc_id").cast("string"), F.lit(" or *stop*"))).alias("action")),
+    "f22_chat_texts": lambda s, d: _docs(s, d).select("doc_id", text.chat_safe(F.concat(F.col("text"), F.lit("‮*end*​<b>"))).alias("safe"), text.chat_action(F.concat(F.lit("go to HTTP://x.y/"), F.col("doc_id").cast("string"), F.lit(" or *stop*"))).alias("action")),
     "f24_templates": lambda s, d: _events(s, d).select("ord", text.rendered(_TEMPLATE, text.template_vars(F.col("files"), user=F.col("user"), machine=F.col("machine"), action=F.col("action")), F.lit("?")).alias("line"), text.rendered("{nothing}", text.template_vars(F.col("files")), F.concat(F.lit("plain "), "user")).alias("fallback")),
     "f25_template_maps": lambda s, d: _events(s, d).select("ord", F.to_json(text.rendered_all({"who": "{user}", "n": 3, "what": "{action}ed"}, text.template_vars(F.col("files"), user=F.col("user"), action=F.col("action")), F.lit(None).cast("map<string,string>"))).alias("body")),
     "f26_file_lists": lambda s, d: t.long_events(s, d).select("ord", text.shown_files(F.col("files")).alias("inline"), text.file_lines(F.col("files")).alias("lines")),
@@ -167,13 +167,16 @@ ORACLE_SQL = {
     "f10_message_cells": rf"SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR text = '' THEN '—' WHEN length(m) <= 50 THEN m ELSE m[1:49] || '…' END AS cell FROM (SELECT doc_id, text, trim(regexp_replace(text, '[ \t\n\x0b\x0c\r]+', ' ', 'g')) AS m FROM documents)",
     "f12_normal_paths": rf"""WITH {_ODD} SELECT doc_id, trim(regexp_replace(p, '[/\\]+', '/', 'g'), '/') AS path, array_to_string(list_filter(string_split(p, '/'), lambda x: x <> ''), '|') AS parts, string_split(p, '/')[-1] AS name FROM odd""",
     "f14_listing_sizes": f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE 0 END AS size {_DOCS}",
-    "f15_binary": f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN octet_length(encode(text)) < 8192 OR octet_length(encode(text)) >= 8192 AND TRY(decode(encode(text)[1:8192])) IS NULL WHEN 1 THEN true ELSE false END AS is_binary {_DOCS}",
-    "p20_eligible": f"SELECT doc_id, doc_id % 3 > 0 AND doc_id % 5 > 0 AND doc_id % 7 <> 0 AS eligible {_DOCS}",
+    "f15_binary": f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN octet_length(encode(text)) < 8192 OR octet_length(encode(text)) >= 8192 AND TRY(decode(encode(text)[1:8192])) IS NULL WHEN 1 THEN true ELSE octet_length(encode(text)) > 8192 AND TRY(decode(encode(text)[1:8192])) IS NULL END AS is_binary {_DOCS}",
+    "p20_eligible": f"SELECT doc_id, doc_id % 3 > 0 AND doc_id % 5 > 0 AND doc_id % 7 <> 0 AND NOT (octet_length(encode(text)) > 8192 AND TRY(decode(encode(text)[1:8192])) IS NULL) AS eligible {_DOCS}",
     "f17_findings": _kinds_sql(),
+    "f19_redacted": f"""WITH planted_kinds AS ({_kinds_sql()}), {_PLANTED}, said AS (SELECT doc_id, list(struct_pack(m := matched_text, k := kind) ORDER BY length(matched_text), matched_text) AS all_ FROM (SELECT DISTINCT doc_id, matched_text, kind FROM planted_kinds) GROUP BY 1)
+        SELECT doc_id, md5(coalesce(list_reduce(list_prepend(text, list_transform(all_, lambda x: x.m || chr(1) || x.k)), lambda a, x: replace(a, string_split(x, chr(1))[1], '<REDACTED:' || string_split(x, chr(1))[2] || '>')), text)) AS md5 FROM planted LEFT JOIN said USING (doc_id)""",
+    "f20_file_findings": f"SELECT kind, count(*) AS findings, count(DISTINCT doc_id) AS files FROM ({_kinds_sql()}) WHERE doc_id % 4 <> 0 GROUP BY 1",
     "f21_error_texts": r"""SELECT page_id, CASE WHEN length(m) > 160 THEN m[1:159] || '…' ELSE m END AS error FROM (SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(
         'Token x.y-' || page_id || ' at ' || replace(url, '://', '://u:p@') || '&Token=abc&b=1 in /home/own/x ' || repeat('z', (page_id % 150)::INT), '(?i)(Bearer|Token)\s+[A-Za-z0-9._\-]+', '\1 [redacted]', 'g'),
         '(\b[a-z][a-z0-9+.\-]*://)[^/@\s]+:[^/@\s]+@', '\1[redacted]@', 'g'), '(?i)([?&](?:access_token|token|api_key|key|secret|client_secret)=)[^&\s]+', '\1[redacted]', 'g'), '/home/own', '/$HOME') AS m FROM pages)""",
-    "f22_chat_texts": rf"""SELECT doc_id, regexp_replace(text[1:300] || chr(8238) || '*end*' || chr(8203) || '<b>', '[\x00-\x1f\x7f*_~`<>&|\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{2064}}\x{{2066}}-\x{{2069}}\x{{feff}}]', '', 'g') AS safe, 'go to [link removed] or stop' AS action {_DOCS}""",
+    "f22_chat_texts": rf"""SELECT doc_id, regexp_replace(text || chr(8238) || '*end*' || chr(8203) || '<b>', '[\x00-\x1f\x7f*_~`<>&|\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{2064}}\x{{2066}}-\x{{2069}}\x{{feff}}]', '', 'g') AS safe, 'go to [link removed] or stop' AS action {_DOCS}""",
     "f24_templates": f"""WITH {_LOG} SELECT ord, "user" || '@' || machine || ': ' || action || ' ' || len(files) || ' (' || {_SHOWN} || ') first ' || files[1] || ' {{unknown}}' AS line, 'plain ' || "user" AS fallback FROM log""",
     "f25_template_maps": f"""WITH {_LOG} SELECT ord, '{{"who":"' || "user" || '","n":"3","what":"' || action || 'ed"}}' AS body FROM log""",
     "f26_file_lists": f"WITH {_LONG} SELECT ord, {_SHOWN} AS inline, CASE WHEN len(files) = 0 THEN '(no files)' ELSE array_to_string(list_transform(files[1:10], lambda x: '- ' || x), chr(10)) || CASE WHEN len(files) > 10 THEN chr(10) || 'and ' || (len(files) - 10) || ' more' ELSE '' END END AS lines FROM long",

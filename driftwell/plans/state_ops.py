@@ -77,9 +77,11 @@ def _matrix(s, d):
     return mirrors.live_matrix(states, listings, t.manifest_remotes(s, d), t.BACKENDS)
 
 
-def _settings(s, shift: int):
-    keys = s.range(40).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.when((F.col("id") + shift) % 5 == 0, "false").when((F.col("id") + shift) % 5 == 1, '""').when((F.col("id") + shift) % 5 == 2, F.concat(F.lit(f"v{shift}-"), F.col("id").cast("string"))).when((F.col("id") + shift) % 5 == 3, "0").otherwise("[1]").alias("value"), "id")
-    return keys.where(F.col("id") % 7 != shift).select("key", "value")
+def _settings(s, d, shift: int):
+    """(key, value): a setting for each customer, in five kinds; some are missing."""
+    i = F.col("c_custkey")
+    value = F.when((i + shift) % 5 == 0, "false").when((i + shift) % 5 == 1, '""').when((i + shift) % 5 == 2, F.concat(F.lit(f"v{shift}-"), i.cast("string"))).when((i + shift) % 5 == 3, "0").otherwise("[1]")
+    return s.read.parquet(f"{d}/customer.parquet").where(i % 7 != shift).select(F.concat(F.lit("k"), i.cast("string")).alias("key"), value.alias("value"))
 
 
 def _cache(s, d):
@@ -97,20 +99,20 @@ QUERIES = {
     "s25_blob_bodies": lambda s, d: snapshots.bodies(_docs(s, d).select(F.sha2("text", 256).alias("h")), t.stored_blobs(s, d).where("backend = 'drive'").groupBy(F.col("name").alias("h")).agg(F.max("content").alias("content"))).select("h", F.col("content").isNotNull().alias("stored")),
     "s26_log_files": lambda s, d: json_files.sync_log(t.log_texts(s, d).select("text")).select("machine", "ord", "user", "timestamp", "action", F.array_join("files", "|").alias("files"), F.size("auto_resolved_files").cast("bigint").alias("resolved")),
     "s27_messages": lambda s, d: json_files.events(t.sync_events(s, d).select(F.when(F.col("ord") % 9 == 0, "no json").otherwise(F.to_json(F.struct("user", F.when(F.col("ord") % 4 > 0, F.col("machine")).alias("machine"), F.date_format("ts", "yyyy-MM-dd").alias("timestamp"), "files", "action"))).alias("text"))).groupBy("user", "machine", "timestamp", "action").agg(F.count("*").alias("events")),
-    "s29_envelopes": lambda s, d: json_files.envelopes(_docs(s, d).select(F.when(F.col("doc_id") % 6 == 0, "[]").otherwise(F.to_json(F.struct(F.col("doc_id").cast("string").alias("path"), F.substring("text", 1, 9).alias("local_text"), F.when(F.col("doc_id") % 5 > 0, "r").alias("remote_text"), (F.col("doc_id") % 3).alias("version")))).alias("text"))).select("path", "local_text", "remote_text"),
+    "s29_envelopes": lambda s, d: json_files.envelopes(_docs(s, d).select(F.when(F.col("doc_id") % 6 == 0, "[]").otherwise(F.to_json(F.struct(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("local_text"), F.when(F.col("doc_id") % 5 > 0, "r").alias("remote_text"), (F.col("doc_id") % 3).alias("version")))).alias("text"))).select("path", "local_text", "remote_text"),
     "s31_frozen_view": lambda s, d: snapshots.frozen_view(t.snapshot_files(s, d), t.snapshot_files(s, d).select("hash").distinct().where("hash < 'c'").select("hash", F.length("hash").cast("bigint").alias("size")), "1995-04"),
     "s32_mirror_view": lambda s, d: snapshots.mirror_view(t.manifest_remotes(s, d), "sftp", t.BACKENDS).select("rel_path", "state"),
     "s33_all_view": lambda s, d: snapshots.all_view(t.snapshot_files(s, d).where("timestamp < '1995-03'")),
     "s34_as_of_view": lambda s, d: snapshots.as_of_view(t.snapshot_files(s, d), t.snapshot_files(s, d), "1995-04-20"),
-    "s41_byte_ranges": lambda s, d: _docs(s, d).select("doc_id", tree.byte_range(F.col("text").cast("binary"), 5, 7).cast("string").alias("middle"), tree.byte_range(F.col("text").cast("binary"), -3, -1).cast("string").alias("none")).where("doc_id < 0 or is_valid_utf8(middle)"),
+    "s41_byte_ranges": lambda s, d: _docs(s, d).select("doc_id", F.hex(tree.byte_range(F.col("text").cast("binary"), 5, 7)).alias("middle"), F.hex(tree.byte_range(F.col("text").cast("binary"), -3, 4)).alias("head"), F.hex(tree.byte_range(F.col("text").cast("binary"), 3, -1)).alias("none")),
     "s42_stat": lambda s, d: tree.stat(t.remote_files(s, d), t.remote_files(s, d).where("rel_path is not null").select(F.explode(F.array("rel_path", F.concat(F.lit("/"), F.substring_index("rel_path", "/", 2)), F.concat("rel_path", F.lit("x")))).alias("path")).distinct()),
     "s43_readdir": lambda s, d: tree.readdir(t.remote_files(s, d), "src1/en"),
     "k05_manifest_json": lambda s, d: json_files.manifest(json_files.manifest_json(t.manifest_maps(s, d).where("rel_path is not null")).select(F.to_json(F.create_map("rel_path", F.lit("@"))).alias("k"), "value").select(F.replace("k", F.lit('"@"'), F.col("value")).alias("text"))).select("rel_path", "synced_hash", "synced_remote_hash", F.size("remotes").cast("bigint").alias("n_remotes")),
     "k10_blob_snapshot": lambda s, d: snapshots.blob_snapshot(t.local_files(s, d), t.blobs(s, d)[1], "2026")[1],
     "k14_restored_bodies": lambda s, d: snapshots.checked_bodies(_docs(s, d).select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("hash")), t.stored_blobs(s, d).select(F.lower("name").alias("h"), "content").groupBy("h").agg(F.max("content").alias("content"))).select("path", "intact"),
-    "k15_log_append": lambda s, d: json_files.appended(t.sync_events(s, d).where("ord < 400"), t.sync_events(s, d).where("ord between 100 and 149")).select("ord", "user", "action"),
+    "k15_log_append": lambda s, d: json_files.appended(t.sync_events(s, d), t.sync_events(s, d).where("action = 'click'")).select("ord", "user", "action"),
     "k17_inbox": lambda s, d: json_files.inbox(json_files.inbox_lines(t.sync_events(s, d).select(F.lit("now").alias("timestamp"), F.concat("user", F.lit("!")).alias("title"), F.col("action").alias("message"), "user", "machine")).select(F.col("value").alias("text"))).groupBy("title", "message", "machine").agg(F.count("*").alias("lines")),
-    "k22_envelopes_made": lambda s, d: json_files.make_envelopes(_docs(s, d).where("doc_id % 3 = 0").select(F.concat(F.lit("a\\"), F.col("doc_id").cast("string")).alias("rel_path"), F.col("text").alias("local_text"), F.concat("text", F.lit("\nmore")).alias("remote_text"), F.lit(None).cast("string").alias("base_text"), F.lit(None).cast("string").alias("base_hash"), F.lit("drive").alias("backend")), "/p", "2026").select("path", "local_hash", "remote_hash", "base_hash", "version", (F.length("unified_diff") > 0).alias("differs")),
+    "k22_envelopes_made": lambda s, d: json_files.make_envelopes(_docs(s, d).select(F.concat(F.lit("a\\"), F.col("doc_id").cast("string")).alias("rel_path"), F.col("text").alias("local_text"), F.concat("text", F.lit("\nmore")).alias("remote_text"), F.lit(None).cast("string").alias("base_text"), F.lit(None).cast("string").alias("base_hash"), F.lit("drive").alias("backend")), "/p", "2026").select("path", "local_hash", "remote_hash", "base_hash", "version", (F.length("unified_diff") > 0).alias("differs")),
     "k25_results": lambda s, d: t.remote_files(s, d).where("rel_path is not null").select("rel_path", json_files.envelope_of_result("status", F.struct("rel_path", "size")).alias("json")),
     "k30_hash_cache": lambda s, d: manifest.put_hashes(t.hash_cache(s, d), t.local_times(s, d).where("rel_path like '%/en/%'").select("rel_path", "size", "mtime_ns", F.col("hash").alias("md5"), F.lit(None).cast("string").alias("sha256"))),
     "k31_upsert": lambda s, d: manifest.upsert(_disk(s, d), _held(s, d), _removed(s, d)).select("rel_path", "synced_hash"),
@@ -133,7 +135,7 @@ QUERIES = {
     "j14_last_foreign_change": lambda s, d: log.last_foreign_change(t.sync_events(s, d).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), s.range(31).select(F.concat(F.lit("dir3/f"), F.col("id").cast("string"), F.lit(".md")).alias("path"), F.when(F.col("id") % 2 == 0, "2024-01-30 12:00:00").alias("since")), "m1"),
     "j15_live_matrix": _matrix,
     "j18_seed_plan": lambda s, d: manifest.seed_plan(t.manifest(s, d), t.manifest_remotes(s, d), t.local_files(s, d), "sftp"),
-    "j19_overlay": lambda s, d: manifest.overlay(_settings(s, 0), _settings(s, 1)),
+    "j19_overlay": lambda s, d: manifest.overlay(_settings(s, d, 0), _settings(s, d, 1)),
     "j20_sizes": lambda s, d: snapshots.with_sizes(t.snapshot_files(s, d).where("timestamp = '1995-04'"), t.snapshot_files(s, d).select("hash").distinct().where("hash < 'c'").select("hash", F.lit(9).cast("bigint").alias("size"))),
     "j21_cache_probe": lambda s, d: manifest.probe(t.local_times(s, d), t.hash_cache(s, d)).select("rel_path", "hash"),
     "j22_sha256_probe": lambda s, d: manifest.probe(t.local_times(s, d), t.hash_cache(s, d), "sha256").select("rel_path", "hash"),
@@ -144,7 +146,7 @@ QUERIES = {
     "a15_manifest_phase": lambda s, d: checks.phase_counts(checks.manifest_findings(t.manifest(s, d), *_remotes_with_live(s, d), t.BACKENDS), "manifest"),
     "a16_blob_findings": lambda s, d: checks.blob_findings(t.stored_blobs(s, d)).groupBy("backend", "finding").agg(F.count("*").alias("n")),
     "a18_verify": _verify,
-    "a19_health": lambda s, d: checks.health(s.range(6).select(F.element_at(F.array(*map(F.lit, ["ok", "warn", "unsupported"])), (F.col("id") % 3 + 1).cast("int")).alias("status"))),
+    "a19_health": lambda s, d: checks.health(mirrors.backend_status(t.manifest_remotes(s, d)).select(F.when(F.col("status") == "pending", "warn").when(F.col("status") == "failed", "unsupported").otherwise("ok").alias("status")).union(t.manifest_remotes(s, d).where("state = 'pending_retry'").select(F.lit("warn")))),
     "a20_last_sync_age": _health,
     "a23_tags": lambda s, d: snapshots.tags(t.snapshots(s, d)),
     "a24_tagged": lambda s, d: snapshots.tagged(t.snapshots(s, d).withColumn("tag", F.when(F.col("timestamp").endswith("-05"), "five").otherwise(F.col("tag"))), s.range(3).select(F.element_at(F.array(F.lit("five"), F.lit("v1995"), F.lit("gone")), (F.col("id") + 1).cast("int")).alias("tag"))),
@@ -202,7 +204,7 @@ ORACLE_SQL = {
     "s25_blob_bodies": "SELECT sha256(text) AS h, bool_or(doc_id % 2 = 0 AND doc_id % 13 <> 0 AND doc_id % 11 <> 0) AS stored FROM documents GROUP BY 1",
     "s26_log_files": f"""WITH {_LOG} SELECT machine, row_number() OVER (PARTITION BY machine ORDER BY ord) - 1 AS ord, "user", strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, action, array_to_string(files, '|') AS files, 0::BIGINT AS resolved FROM log""",
     "s27_messages": f"""WITH {_LOG} SELECT "user", machine, strftime(ts, '%Y-%m-%d') AS timestamp, action, count(*) AS events FROM log WHERE ord % 9 <> 0 AND ord % 4 > 0 GROUP BY 1, 2, 3, 4""",
-    "s29_envelopes": "SELECT doc_id::VARCHAR AS path, text[1:9] AS local_text, 'r' AS remote_text FROM documents WHERE doc_id % 6 <> 0 AND doc_id % 5 > 0 AND doc_id % 3 = 1",
+    "s29_envelopes": "SELECT doc_id::VARCHAR AS path, text AS local_text, 'r' AS remote_text FROM documents WHERE doc_id % 6 <> 0 AND doc_id % 5 > 0 AND doc_id % 3 = 1",
     "s31_frozen_view": f"{_FILES_SNAP} SELECT path AS rel_path, hash AS identifier, CASE WHEN hash < 'c' THEN 32 ELSE 0 END::BIGINT AS size FROM files WHERE timestamp = '1995-04'",
     "s32_mirror_view": f"WITH {_FILES} SELECT rel_path, state FROM remotes WHERE backend = 'sftp'",
     "s33_all_view": f"{_FILES_SNAP} SELECT timestamp || '/' || path AS rel_path, hash AS identifier FROM files WHERE timestamp < '1995-03'",
@@ -213,9 +215,10 @@ ORACLE_SQL = {
     "k05_manifest_json": f"WITH {_FILES}, {_MAN2} SELECT rel_path, synced_hash, synced_remote_hash, (SELECT count(*) FROM remotes r WHERE r.rel_path = m.rel_path) AS n_remotes FROM man m",
     "k10_blob_snapshot": f"WITH {_FILES} SELECT DISTINCT hash AS h FROM local_files WHERE hash NOT IN (SELECT h FROM base WHERE doc_id % 3 <> 0)",
     "k14_restored_bodies": "SELECT doc_id::VARCHAR AS path, bool_and(doc_id % 11 = 0 OR doc_id % 7 <> 0) OVER w AND bool_or(doc_id % 11 <> 0 AND doc_id % 7 <> 0) OVER w AS intact FROM documents WINDOW w AS (PARTITION BY sha256(text))",
-    "k15_log_append": f"""WITH {_LOG} SELECT ord, "user", action FROM log WHERE ord BETWEEN 350 AND 399 AND false UNION ALL SELECT * FROM (SELECT ord, "user", action FROM log WHERE ord < 400 UNION ALL SELECT ord + 400, "user", action FROM log WHERE ord BETWEEN 100 AND 149) ORDER BY ord DESC LIMIT 200""",
+    "k15_log_append": f"""WITH {_LOG} SELECT ord, "user", action FROM (SELECT ord, "user", action FROM log UNION ALL SELECT ord + (SELECT max(ord) + 1 FROM log), "user", action FROM log WHERE action = 'click') ORDER BY ord DESC LIMIT 200""",
+    "s41_byte_ranges": "SELECT doc_id, hex(encode(text)[6:12]) AS middle, hex(encode(text)[1:4]) AS head, '' AS none FROM documents",
     "k17_inbox": f"""WITH {_LOG} SELECT "user" || '!' AS title, action AS message, machine, count(*) AS lines FROM log GROUP BY 1, 2, 3""",
-    "k22_envelopes_made": "SELECT 'a/' || doc_id AS path, sha256(text) AS local_hash, sha256(text || chr(10) || 'more') AS remote_hash, NULL::VARCHAR AS base_hash, 1 AS version, true AS differs FROM documents WHERE doc_id % 3 = 0",
+    "k22_envelopes_made": "SELECT 'a/' || doc_id AS path, sha256(text) AS local_hash, sha256(text || chr(10) || 'more') AS remote_hash, NULL::VARCHAR AS base_hash, 1 AS version, true AS differs FROM documents",
     "k25_results": f"""WITH {_FILES} SELECT rel_path, '{{"version":1,"command":"status","result":{{"rel_path":"' || rel_path || '","size":' || size || '}}}}' AS json FROM remote_files""",
     "k30_hash_cache": f"""WITH {_FILES}, {_TIMES}, n AS (SELECT * FROM lt WHERE rel_path LIKE '%/en/%') SELECT coalesce(n.rel_path, c.rel_path) AS rel_path, coalesce(n.size, c.size) AS size, coalesce(n.mtime_ns, c.mtime_ns) AS mtime_ns, coalesce(n.hash, c.md5) AS md5,
         CASE WHEN n.rel_path IS NULL OR n.size = c.size AND n.mtime_ns = c.mtime_ns THEN c.sha256 ELSE '' END AS sha256 FROM cache c FULL JOIN n ON n.rel_path = c.rel_path""",
@@ -247,7 +250,7 @@ ORACLE_SQL = {
           FROM x CROSS JOIN (VALUES ('drive'), ('dropbox'), ('sftp')) b(backend) LEFT JOIN remotes r ON r.rel_path = x.rel_path AND r.backend = b.backend)
         SELECT rel_path, max(cell) FILTER (backend = 'drive') AS drive, max(cell) FILTER (backend = 'dropbox') AS dropbox, max(cell) FILTER (backend = 'sftp') AS sftp FROM c GROUP BY 1""",
     "j18_seed_plan": f"WITH {_FILES}, {_SEED} SELECT * FROM seed",
-    "j19_overlay": """WITH k AS (SELECT i, 'k' || i AS key, s, CASE (i + s) % 5 WHEN 0 THEN 'false' WHEN 1 THEN '""' WHEN 2 THEN 'v' || s || '-' || i WHEN 3 THEN '0' ELSE '[1]' END AS value FROM range(40) r(i), range(2) q(s) WHERE i % 7 <> s)
+    "j19_overlay": """WITH k AS (SELECT i, 'k' || i AS key, s, CASE (i + s) % 5 WHEN 0 THEN 'false' WHEN 1 THEN '""' WHEN 2 THEN 'v' || s || '-' || i WHEN 3 THEN '0' ELSE '[1]' END AS value FROM (SELECT c_custkey AS i FROM customer), range(2) q(s) WHERE i % 7 <> s)
         SELECT coalesce(a.key, b.key) AS key, coalesce(CASE WHEN a.value NOT IN ('false', '""', '0') THEN a.value END, b.value, a.value) AS value FROM (FROM k WHERE s = 0) a FULL JOIN (FROM k WHERE s = 1) b ON a.key = b.key""",
     "j20_sizes": f"{_FILES_SNAP} SELECT path, hash, CASE WHEN hash < 'c' THEN 9 ELSE 0 END::BIGINT AS size FROM files WHERE timestamp = '1995-04'",
     "j21_cache_probe": f"WITH {_FILES}, {_TIMES} SELECT l.rel_path, md5 AS hash FROM lt l LEFT JOIN cache c ON c.rel_path = l.rel_path AND c.size = l.size AND c.mtime_ns = l.mtime_ns",
@@ -263,7 +266,7 @@ ORACLE_SQL = {
     "a16_blob_findings": f"WITH {_BLOBS} SELECT backend, finding, count(*) AS n FROM blob GROUP BY 1, 2",
     "a18_verify": f"""WITH {_FILES}, {_FOUND}, {_BLOBS}, c AS (SELECT 'manifest' AS phase, {_COUNTED} FROM found UNION ALL SELECT 'snapshots', {_COUNTED} FROM blob UNION ALL SELECT 'cache', {_COUNTED} FROM (SELECT CASE WHEN finding = 'missing' THEN 'corrupted' ELSE finding END AS finding FROM blob WHERE backend = 'drive'))
         SELECT *, drift + missing + corrupted > 0 AS findings FROM c""",
-    "a19_health": "SELECT 'warn' AS status",
+    "a19_health": f"WITH {_FILES} SELECT CASE WHEN count(*) FILTER (state = 'pending_retry') > 0 THEN 'warn' ELSE 'ok' END AS status FROM remotes",
     "a20_last_sync_age": f"WITH {_LOG}, l AS (SELECT arg_max(ts, ord) AS t FROM log), h AS (SELECT date_diff('second', t, TIMESTAMP '2024-02-03') / 3600 AS h FROM l) SELECT 'last_sync_age' AS name, CASE WHEN h > 72 THEN 'fail' WHEN h > 24 THEN 'warn' ELSE 'ok' END AS status FROM h UNION ALL SELECT 'last_sync_age', 'ok'",
     "a23_tags": f"{_FILES_SNAP} SELECT DISTINCT tag FROM snaps WHERE tag <> ''",
     "a24_tagged": f"{_FILES_SNAP} SELECT 'five' AS tag, max(timestamp) AS timestamp FROM snaps WHERE suffix(timestamp, '-05') UNION ALL SELECT 'v1995', max(timestamp) FROM snaps WHERE tag = 'v1995' UNION ALL SELECT 'gone', NULL",
