@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 
+#: What Python workers keep from task to task, as functions that let go of it; an operator that needs none of it calls ``lighten``.
+KEPT: list[Callable[[], None]] = []
+
+
+def lighten() -> None:
+    """Frees what tasks of other operators have left in this Python worker, which Spark uses again for this one."""
+    if KEPT:
+        for let_go in KEPT:
+            let_go()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        return
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows, so that Python holds few texts at a time."""
     for b in batches:

@@ -8,8 +8,8 @@ the pair of identifiers at i and i+8, i+16, i+32, ... stands for twice the lengt
 1. 32-grams with very many buckets (a passage that many documents share, each in other surroundings) are counted
    first, in a sketch of bounded size a task; the widest ones are known to all tasks.
 2. Each task buckets the anchors of its documents by (32-gram, all bytes of the windows that the anchor stands for).
-   Of a bucket only the first member goes on, the others are repeats already and may go to any task; so a passage in
-   very many documents is a row a task.
+   Of a bucket only the first member goes on, the others are repeats already and may go to any task.  First members of
+   many chunks of texts are held and merged before they go on, so a passage in very many documents is about a row a task.
 3. Anchors are shuffled by their 32-gram, those of wide ones by 32-gram and bucket, and buckets merged: all but the
    first of a bucket are repeats.  A 32-gram with one bucket is done; the first members of several buckets may still
    share some of their windows.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import pieces, whole_groups
+from .arrow import lighten, pieces, whole_groups
 from .shared import partitions, written
 
 LENGTH = 100
@@ -39,6 +39,8 @@ _CHUNK = 1 << 19
 #: Buckets from which a 32-gram is wide, how many wide ones are known to all tasks (the widest), and the size of a task's sketch.
 #: A 32-gram that is not known has at most about that many buckets, or this share of all, and three more for each task.
 _WIDE, _KNOWN = 1000, 1 << 18
+#: First members that a task merges before they go on (about 13 MB of texts).
+_HELD = 400_000
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -140,39 +142,83 @@ def _anchors_of(rows: list[tuple], length: int) -> tuple[np.ndarray, ...]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Step 1: 32-grams with several buckets in a task, and how many; too low by less than the task's rows / ``_KNOWN``."""
-    kept, counts, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    """Step 1: 32-grams with several buckets in a task, how many, and a bit for each of 64 classes of them.
+
+    The count is too low by less than the task's rows / ``_KNOWN``, and counts a bucket once in 16 chunks; the bits tell
+    few buckets that come in very many tasks from many buckets.
+    """
+    lighten()
+    kept, counts, masks, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), []
 
     def fold() -> None:
-        nonlocal kept, counts
-        kept, of = np.unique(np.concatenate([kept, *held]), return_inverse=True)
-        counts = np.bincount(of, np.append(counts, np.ones(len(of) - len(counts), np.int64))).astype(np.int64)
+        nonlocal kept, counts, masks
+        gram, content = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
+        order = np.lexsort((content, gram))
+        order = order[_first(order, gram, content)]
+        gram, bit = gram[order], np.uint64(1) << (content[order] & np.uint64(63))
+        at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+        more, n = gram[at], np.diff(np.append(at, len(gram)))
+        mask = np.bitwise_or.reduceat(bit, at) if len(at) else bit
+        kept, of = np.unique(np.concatenate([kept, more]), return_inverse=True)
+        counts = np.bincount(of, np.concatenate([counts, n]), len(kept)).astype(np.int64)
+        both = np.zeros(len(kept), np.uint64)
+        np.bitwise_or.at(both, of, np.concatenate([masks, mask]))
+        masks = both
         if len(kept) > _KNOWN:
             counts -= np.partition(counts, -_KNOWN - 1)[-_KNOWN - 1]
-            kept, counts = kept[counts > 0], counts[counts > 0]
+            kept, counts, masks = kept[counts > 0], counts[counts > 0], masks[counts > 0]
 
     for rows in _chunks(batches, length):
         _, _, _, gram, content, *_ = _anchors_of(rows, length)
-        order = np.lexsort((content, gram))
-        held.append(gram[order[_first(order, gram, content)]])
+        held.append((gram, content))
         if len(held) == 16:
             fold()
     if held:
         fold()
-    kept, counts = kept[counts > 3], counts[counts > 3]
-    yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(counts)], ["gram", "n"])
+    several = counts > 3
+    yield pa.RecordBatch.from_arrays([pa.array(kept[several].view(np.int64)), pa.array(counts[several]), pa.array(masks[several].view(np.int64))], ["gram", "n", "mask"])
 
 
 def wide_grams(docs: DataFrame, length: int) -> np.ndarray:
     """The widest 32-grams with at least ``_WIDE`` buckets, ``_KNOWN`` at most, sorted."""
-    found = docs.mapInArrow(lambda b: _sketch(b, length), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    widest = found.where(F.col("n") >= _WIDE).orderBy(F.desc("n"), "gram").limit(_KNOWN).select("gram").toArrow()
+    found = docs.mapInArrow(lambda b: _sketch(b, length), "gram bigint, n bigint, mask bigint").groupBy("gram").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"))
+    # a thousand buckets leave no class without one, but for a chance of about 1 in 100,000
+    widest = found.where((F.col("n") >= _WIDE) & (F.bit_count("mask") >= min(64, _WIDE // 2))).orderBy(F.desc("n"), "gram").limit(_KNOWN).select("gram").toArrow()
     return np.sort(widest["gram"].to_numpy().view(np.uint64))
 
 
+def _firsts(rows: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Of rows (gram, content, id, version, place): 1 for the first of its bucket, 0 for a repeat, -1 for the same place once more."""
+    gram, content, ids, version, place = rows
+    mark = np.ones(len(gram), np.int8)
+    _, of, sizes = np.unique(_pair(gram, content), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(sizes[of] > 1)
+    g, c, i, v, p = (x[several] for x in rows)
+    order = np.lexsort((p, v, i, c, g))
+    mark[several[order[~_first(order, g, c)]]] = 0
+    mark[several[order[~_first(order, g, c, i, v, p)]]] = -1
+    return mark
+
+
 def _sample(batches: Iterator[pa.RecordBatch], length: int, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Step 2; a row's ``role`` is 1 for a repeat, 2 for the first member of a bucket of a wide 32-gram, else 0."""
+    lighten()
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def batch(gram, content, ids, version, place, role) -> pa.RecordBatch:
+        columns = (gram.view(np.int64), content.view(np.int64), ids, version, place, role.astype(np.int8))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gram", "content", "id", "version", "place", "role"])
+
+    def merged() -> pa.RecordBatch:
+        rows = tuple(map(np.concatenate, zip(*held, strict=True)))
+        held.clear()
+        mark = _firsts(rows)
+        rows, mark = tuple(x[mark >= 0] for x in rows), mark[mark >= 0]
+        gram = rows[0]
+        known = wide[np.minimum(np.searchsorted(wide, gram), len(wide) - 1)] == gram if len(wide) else np.zeros(len(gram), bool)
+        return batch(*rows, np.where(mark == 1, 2 * known, 1))
+
     for rows in _chunks(batches, length):
         at, begin, end, gram, content, starts, ends = _anchors_of(rows, length)
         if not len(at):
@@ -180,14 +226,16 @@ def _sample(batches: Iterator[pa.RecordBatch], length: int, wide: np.ndarray) ->
         order = np.lexsort((at, content, gram))
         new = _first(order, gram, content)
         doc = np.searchsorted(ends, at[order], "right")
-        at, begin, end, gram = at[order] - starts[doc], begin[order] - starts[doc], end[order] - starts[doc], gram[order]
-        ids, versions = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
-        place = at << 16 | (at - begin) << 8 | (at - end)
-        known = wide[np.minimum(np.searchsorted(wide, gram), len(wide) - 1)] == gram if len(wide) else np.zeros(len(gram), bool)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (gram.view(np.int64), content[order].view(np.int64), ids[doc], versions[doc], place, np.where(new, 2 * known, 1).astype(np.int8))],
-            ["gram", "content", "id", "version", "place", "role"],
-        )
+        at, begin, end = at[order] - starts[doc], begin[order] - starts[doc], end[order] - starts[doc]
+        ids, versions = np.array([r[0] for r in rows], np.int64)[doc], np.array([r[1] for r in rows], np.int32)[doc]
+        found = (gram[order], content[order], ids, versions, at << 16 | (at - begin) << 8 | (at - end))
+        if not new.all():
+            yield batch(*(x[~new] for x in found), np.ones(int((~new).sum()), np.int8))
+        held.append(tuple(x[new] for x in found))
+        if sum(len(x[0]) for x in held) >= _HELD:
+            yield merged()
+    if held:
+        yield merged()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +253,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(gone | (refine > 0))
         return pa.RecordBatch.from_arrays([pa.array(x[order[at]]) for x in (gram, ids, version, place)] + [pa.array(refine[at])], ["gram", "id", "version", "place", "refine"])
 
+    lighten()
     held, rows = [], 0
     for t in whole_groups(batches, "gram"):
         held.append(t)
@@ -290,6 +339,7 @@ def _refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             [pa.array(x) for x in (ids[m], version[m], start[m] + local[at[first]], start[m] + local[at[last]] + length)], ["id", "version", "start", "end"]
         )
 
+    lighten()
     held, rows = [], 0
     for t in whole_groups(batches, "gram"):
         held.append(t)
@@ -357,6 +407,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     open_ = merged.where("refine > 0").groupBy("id", "version").agg(F.collect_list(F.struct("gram", "place", "refine")).alias("places"))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         wide = []
         for b in pieces(batches, 64):
             rows = []

@@ -14,6 +14,8 @@ from itertools import islice
 
 import numpy as np
 
+from .arrow import KEPT
+
 #: White space beside white space or at an end: what stands there decides where the parts are.
 _ODD = re.compile(r"\s\s|^\s|\s\Z")
 
@@ -141,3 +143,6 @@ class Encoder(PartMemo):
 def encoder(path: str) -> Encoder:
     """One per Python worker."""
     return Encoder(path)
+
+
+KEPT.append(encoder.cache_clear)

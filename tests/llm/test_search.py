@@ -12,7 +12,7 @@ import pytest
 from common import DOCS, LONG, TEXTS, clashing, docs
 
 import corpus_pipeline
-from driftwell.llm import classifier, nn_descent, queries, shared, suffix_dedup, warc_zip
+from driftwell.llm import classifier, nn_descent, queries, shared, simhash, suffix_dedup, warc_zip
 
 BIG = "<html>" + "y" * 200 + "</html>"
 PAGES = [(1, "http://a/1", "<p>é</p>"), (2, None, None), (3, "u", BIG), (4, "u\nv", BIG), (4, "u", BIG), (2, "w", BIG), (None, "n", BIG), (6, "s", "<p>é</p>"), (7, "", LONG), (8, "", ""), (9, "q", "a\r\n\r\nb" * 30)]
@@ -326,3 +326,66 @@ def test_near_stage_keeps_null_ids_and_one_row_of_an_id(spark, sf_dir):
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
     assert got == sorted([(None, a), (None, b), (5, c), (7, d), (8, "another that eight has"), (10, "ten stands alone here")], key=repr)
     assert corpus_pipeline.near(spark, df.limit(0), sf_dir).count() == 0
+
+
+def test_a_passage_in_many_chunks_is_few_rows(spark, monkeypatch):
+    r = random.Random(1)
+    noise = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    passage = noise(400)
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 2_000)  # a chunk holds two or three texts
+    texts = [(i, i % 7, (noise(300) + passage + noise(300)).encode()) for i in range(3000)]
+    batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*texts)], ["id", "version", "text"])])
+    rows = pa.Table.from_batches(suffix_dedup._sample(batches(), 100, np.zeros(0, np.uint64))).to_pandas()
+    first = rows[rows.role != 1]
+    inside = first.groupby(["gram", "content"]).size()
+    assert inside.max() == 1 and (rows.role == 1).sum() > 3000 and len(rows) == len(rows.drop_duplicates(["id", "version", "place"]))
+    want = rows.sort_values(["id", "version", "place"]).groupby(["gram", "content"]).first()
+    assert (first.set_index(["gram", "content"]).sort_index()[["id", "place"]] == want.sort_index()[["id", "place"]]).all().all()
+    monkeypatch.setattr(suffix_dedup, "_HELD", 500)
+    small = pa.Table.from_batches(suffix_dedup._sample(batches(), 100, np.zeros(0, np.uint64))).to_pandas()
+    assert len(small) == len(rows) and small[small.role != 1].groupby(["gram", "content"]).size().max() < 200
+    sketch = pa.Table.from_batches(suffix_dedup._sketch(batches(), 100)).to_pandas()
+    assert len(sketch[sketch["n"] > 1000]) <= 12  # the grams at the passage's ends, whose surroundings differ in each text
+    grams = sketch[sketch["n"] > 100]
+    assert all(bin(m & (1 << 64) - 1).count("1") < 64 for m, n in zip(grams["mask"], grams["n"]) if n < 200)
+
+
+def test_a_large_shard_of_near_fingerprints_is_linked_whole():
+    import time
+
+    r = random.Random(3)
+    centre = r.getrandbits(64)
+    near = {centre}
+    while len(near) < 20_000:
+        near.add(centre ^ sum(1 << r.randrange(36) for _ in range(r.randint(1, 4))) & (1 << 64) - 1)
+    far = {r.getrandbits(64) for _ in range(300)}
+    values = [*near, *far]
+    r.shuffle(values)
+    began = time.perf_counter()
+    links = list(simhash._forest(values, 3))
+    assert time.perf_counter() - began < 120
+    assert all((values[a] ^ values[b]).bit_count() <= 3 for a, b in links)
+    some = values[:1500]
+    got, up = list(simhash._forest(some, 3)), list(range(1500))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in range(1500):
+        for b in range(a):
+            if (some[a] ^ some[b]).bit_count() <= 3 and top(a) != top(b):
+                up[top(a)] = top(b)
+    assert len(got) == 1500 - len({top(i) for i in range(1500)})
+    plain = {top(i): min(j for j in range(1500) if top(j) == top(i)) for i in range(1500)}
+    mine = list(range(1500))
+
+    def above(i):
+        while mine[i] != i:
+            i = mine[i]
+        return i
+
+    for a, b in got:
+        mine[above(a)] = above(b)
+    assert len({(above(i), plain[top(i)]) for i in range(1500)}) == len({above(i) for i in range(1500)}) == len(set(plain.values()))
