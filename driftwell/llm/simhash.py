@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .arrow import pieces, whole_groups
+from .arrow import lighten, pieces, whole_groups
 from .components import connected_components
 from .shared import drop, partitions, written
 
@@ -92,8 +92,12 @@ class BKTree:
 
 
 def _forest(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """Links of a spanning forest of the values within the radius of each other, as pairs of indexes."""
-    tree, up = BKTree(), list(range(len(values)))
+    """Links of a spanning forest of the values within the radius of each other, as pairs of indexes.
+
+    Each node of the BK-tree knows whether all that is below it was linked when it came; a lookup passes such a subtree by
+    once it is linked with it, so a large group of near values costs far less than all its pairs.
+    """
+    up, root = list(range(len(values))), None
 
     def top(i: int) -> int:
         while up[i] != i:
@@ -101,11 +105,28 @@ def _forest(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
         return i
 
     for i, v in enumerate(values):
-        for j in tree.within(v, radius):
-            if (a := top(i)) != (b := top(j)):
+        todo = [root] if root else []
+        while todo:
+            at, below, one = todo.pop()
+            if one[0] >= 0 and top(one[0]) == top(i):
+                continue
+            d = (values[at] ^ v).bit_count()
+            if d <= radius and (a := top(i)) != (b := top(at)):
                 up[max(a, b)] = min(a, b)
-                yield i, j
-        tree.add(v, i)
+                yield i, at
+            todo += [child for k, child in below.items() if d - radius <= k <= d + radius]
+        node, new = root, (i, {}, [i])
+        if node is None:
+            root = new
+            continue
+        while True:
+            if node[2][0] >= 0 and top(node[2][0]) != top(i):
+                node[2][0] = -1  # below it there are values of several components
+            d = (values[node[0]] ^ v).bit_count()
+            if d not in node[1]:
+                node[1][d] = new
+                break
+            node = node[1][d]
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -183,6 +204,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for b in pieces(batches, 64):
             fps, keys, grams = [], [], []
             for t in b.column(1):
@@ -219,6 +241,7 @@ def _checked_links(members: DataFrame, radius: int, similarity: float) -> DataFr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         now, tree, kept, up = None, BKTree(), [], []
 
         def top(i: int) -> int:
