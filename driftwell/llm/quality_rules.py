@@ -13,17 +13,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 from itertools import takewhile
 from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import pieces
+from .arrow import lighten, pieces
 from .shared import written
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouted"]
@@ -38,8 +37,8 @@ MEASURES = {
     "long_words": ("word_chars / n_words", [8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0, 50.0]),
     "short_words": ("-word_chars / n_words", [-4.0, -3.5, -3.0, -2.5, -2.0, -1.5]),
 }
-
-
+#: Strata up to which the rules (a name and a number each) are broadcast.
+BROADCAST_STRATA = 100_000
 PLACES = max(len(grid) for _, grid in MEASURES.values())
 
 
@@ -83,6 +82,7 @@ def with_stats(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFr
     """The columns ``keep`` and the statistics of each whole text; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lighten()
         for b in pieces(batches):
             columns = list(zip(*map(text_stats, b.column(b.num_columns - 1).to_pylist()), strict=True))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, pa.int64()) for c in columns]], [*b.schema.names[:-1], *STATS])
@@ -111,22 +111,8 @@ def tail(k: int, n: int, p: float) -> float:
     return min(1.0, total)
 
 
-@dataclass
-class Rules:
-    """Cut-offs by stratum and measure; a stratum that is not there has no rule."""
-
-    cutoffs: dict[str, dict[str, float]]
-
-    def kept(self, stratum: str):
-        """False where the base rule fails, else true unless a measure lies above its stratum's cut-off."""
-        bad, name = F.lit(False), _stratum(stratum)
-        for s, cuts in self.cutoffs.items():
-            bad = bad | ((name == s) & _above(cuts))
-        return ~base_failed() & ~bad
-
-
 def _stratum(name: str):
-    return F.coalesce(F.col(name).cast("string"), F.lit("(null)"))
+    return F.col(name).cast("string").alias("stratum")
 
 
 def _above(cuts: dict[str, float]):
@@ -135,32 +121,47 @@ def _above(cuts: dict[str, float]):
 
 def calibrate(
     stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", stratum_col: str = "lang",
-    key_col: str = "_key", max_rejected: float = 0.04, error: float = 0.05, strata: int = 64,
-) -> Rules:
-    """Certified joint rules from all labelled documents (good 1, bad 0; with both labels good) that the base rule keeps.
+    key_col: str = "_key", max_rejected: float = 0.04, error: float = 0.05,
+) -> DataFrame:
+    """(stratum, place, strata): certified joint rules from all labelled documents (good 1, bad 0; with both labels good) that the base rule keeps.
 
     Copies are no independent trials, so of a stratum's documents with one text (one ``key_col``) one counts, good if any
-    of them is.  The ``strata`` strata with most good documents (ties by name) are tested; all others have no rule and
-    lose nothing but what the base rule takes, so the statement holds for each stratum there is.  What reaches the driver
-    is a row of counts for each tested stratum.  Null labels and ids are left out; a null stratum is one of its own.  No
-    good documents: no rules.
+    of them is.  Every stratum with a good document is tested, and the level is divided by their number (``strata``); a
+    stratum without a row has no rule.  Counts and rules are tables of a row for each stratum, and tails are computed where
+    the counts are.  Null labels and ids are left out; a null stratum is one of its own.
     """
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg((F.max(label_col) == 1).alias("_good"))
-    rows = stats.where(~base_failed()).join(marks, id_col).groupBy(_stratum(stratum_col).alias("stratum"), F.col(key_col)).agg(
+    rows = stats.where(~base_failed()).join(marks, id_col).groupBy(_stratum(stratum_col), F.col(key_col)).agg(
         F.max("_good").alias("_good"), *[F.max(c).alias(c) for c in STATS]
     )
-    found: list[Row] = rows.groupBy("stratum").agg(
+    found = written(rows.groupBy("stratum").agg(
         F.count_if("_good").alias("n"),
         *[F.count_if(F.col("_good") & _above(joint_rule(k))).alias(f"good_{k}") for k in range(PLACES)],
         *[F.count_if(~F.col("_good") & _above(joint_rule(k))).alias(f"bad_{k}") for k in range(PLACES)],
         F.count_if(~F.col("_good")).alias("bad"),
-    ).where("n > 0").orderBy(F.desc("n"), "stratum").limit(strata).collect()
-    rules, level = Rules({}), error / max(1, len(found))
-    for r in found:
-        proved = list(takewhile(lambda k, r=r: tail(r[f"good_{k}"], r["n"], max_rejected) <= level, range(PLACES)))
-        if proved:
-            rules.cutoffs[r["stratum"]] = joint_rule(max(proved, key=lambda k: (r[f"bad_{k}"], -k)) if r["bad"] else proved[-1])
-    return rules
+    ).where("n > 0"))
+    strata = found.count()
+    level = error / max(1, strata)
+
+    def certify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                proved = list(takewhile(lambda k, r=r: tail(r[f"good_{k}"], r["n"], max_rejected) <= level, range(PLACES)))
+                if proved:
+                    out.append((r["stratum"], max(proved, key=lambda k, r=r: (r[f"bad_{k}"], -k)) if r["bad"] else proved[-1], strata))
+            columns = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["stratum", "place", "strata"])
+
+    rules = found.mapInArrow(certify, "stratum string, place int, strata bigint")
+    return F.broadcast(rules) if strata <= BROADCAST_STRATA else rules
+
+
+def judged(stats: DataFrame, rules: DataFrame, stratum_col: str) -> DataFrame:
+    """``stats`` with ``base_failed`` and ``kept``: false where the base rule fails, else true unless a measure lies above its stratum's cut-off."""
+    of = stats.join(rules.select(F.col("stratum").alias("_stratum"), F.col("place").alias("_place")), F.col(stratum_col).cast("string").eqNullSafe(F.col("_stratum")), "left")
+    hit = reduce(lambda out, k: out.when(F.col("_place") == k, _above(joint_rule(k))), range(PLACES), F.when(F.lit(False), False))
+    return of.select(*stats.columns, base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce(hit, F.lit(False))).alias("kept"))
 
 
 def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **how) -> DataFrame:
@@ -172,7 +173,7 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     keyed = df.select(id_col, stratum_col, F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
     stats = written(with_stats(keyed, [id_col, stratum_col, "_key"], "_text"))
     rules = calibrate(stats, labels, id_col, stratum_col=stratum_col, **how)
-    return stats.drop("_key").select("*", base_failed().alias("base_failed"), rules.kept(stratum_col).alias("kept"))
+    return judged(stats.drop("_key"), rules, stratum_col)
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **how) -> DataFrame:
@@ -187,8 +188,8 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     )
     measured = written(rows)
     rules = calibrate(measured.select("id", "stratum", "_key", "stats.*"), labels.withColumnRenamed(id_col, "id"), "id", stratum_col="stratum", **how)
-    judged = measured.select("row", "stratum", "stats.*").where(rules.kept("stratum"))
-    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+    kept = judged(measured.select("row", "stratum", "stats.*"), rules, "stratum").where("kept")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
 def _stats_udf():

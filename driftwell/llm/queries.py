@@ -105,7 +105,7 @@ QUERIES = {f.__name__: f for f in (
     op9_suffix_dedup, op10_nn_descent, op11_dom_content, op12_periodic_runs, op13_infilling,
 )}
 
-def _quality_sql(max_rejected: float = 0.04, error: float = 0.05, strata: int = 64) -> str:
+def _quality_sql(max_rejected: float = 0.04, error: float = 0.05) -> str:
     """SQL of op1 with the operator's defaults: statistics, the certified rule of each stratum, and the verdict."""
     places = range(quality_rules.PLACES)
     hits = ", ".join(
@@ -143,7 +143,7 @@ WITH docs AS (
   SELECT s, text, bool_or(good) AS good, {", ".join(f"bool_or(hit_{k}) AS hit_{k}" for k in places)}
   FROM stats JOIN marks USING (doc_id) WHERE NOT base_failed GROUP BY 1, 2
 ), tested AS (
-  SELECT s, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS bad, {counts} FROM held GROUP BY 1 HAVING count(*) FILTER (good) > 0 ORDER BY n DESC, s LIMIT {strata}
+  SELECT s, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS bad, {counts} FROM held GROUP BY 1 HAVING count(*) FILTER (good) > 0
 ), tails AS (
   SELECT *, CASE WHEN g >= n THEN 1 ELSE list_sum(list_transform(range(0, g + 1), lambda j:
     exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p})))) END <= {error} / (SELECT count(*) FROM tested) AS proved

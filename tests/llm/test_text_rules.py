@@ -76,14 +76,23 @@ def test_grid_cutoff_is_the_lowest_proved(spark):
     rows = [(i, "en", i, 100, 500, 30 if i < 4 else 1, 0, 0, 10, 0) for i in range(4000)]
     stats = spark.createDataFrame(rows, "doc_id bigint, lang string, _key bigint, " + ", ".join(f"{c} bigint" for c in quality_rules.STATS))
     labels = stats.selectExpr("doc_id", "1 as quality")
-    rules = quality_rules.calibrate(stats, labels)
-    assert rules.cutoffs["en"]["symbols"] == 0.1  # 4 of 4000 rejected at 0.1 is proved below 0.04 / 6
-    few = quality_rules.calibrate(stats, labels.limit(50))
-    assert not few.cutoffs
-    copies = quality_rules.calibrate(stats.withColumn("_key", F.col("doc_id") % 50), labels)
-    assert not copies.cutoffs  # 4000 copies of 50 texts are 50 trials
-    two = stats.union(stats.withColumn("lang", F.lit("de")).withColumn("doc_id", F.col("doc_id") + 4000).limit(3000))
-    assert set(quality_rules.calibrate(two, two.selectExpr("doc_id", "1 as quality"), strata=1).cutoffs) == {"en"}  # the rest has no rule
+    found = lambda *x: {r.stratum: quality_rules.joint_rule(r.place) for r in quality_rules.calibrate(*x).collect()}
+    assert found(stats, labels)["en"]["symbols"] == 0.1  # 4 of 4000 rejected at 0.1 is proved below 0.04
+    assert not found(stats, labels.limit(50))
+    assert not found(stats.withColumn("_key", F.col("doc_id") % 50), labels)  # 4000 copies of 50 texts are 50 trials
+
+
+def test_every_stratum_is_tested_whatever_their_number(spark, monkeypatch):
+    rows = [(i, None if i % 100 == 99 else f"l{i % 100}", i, 100, 500, 1, 0, 0, 10, 0) for i in range(40_000)] + [(-1, "(null)", -1, 100, 500, 90, 0, 0, 10, 0)]
+    stats = spark.createDataFrame(rows, "doc_id bigint, lang string, _key bigint, " + ", ".join(f"{c} bigint" for c in quality_rules.STATS))
+    labels = stats.where("doc_id >= 0").selectExpr("doc_id", "1 as quality")
+    for most in (10, 1000):
+        monkeypatch.setattr(quality_rules, "BROADCAST_STRATA", most)
+        rules = quality_rules.calibrate(stats, labels)
+        assert {r.stratum for r in rules.collect()} == {None, *(f"l{i}" for i in range(99))} and rules.first().strata == 100
+        more = stats.union(stats.where("doc_id < 100").withColumn("n_symbols", F.lit(90)).withColumn("doc_id", F.col("doc_id") + 10**6))
+        kept = quality_rules.judged(more, rules, "lang")
+        assert kept.count() == more.count() and {r.doc_id for r in kept.where("not kept").collect()} == {10**6 + i for i in range(100)}
 
 
 def test_rules_reject_bad_documents_of_each_stratum(spark):
