@@ -451,24 +451,28 @@ def _version(name: str):
 _CUT = "struct<kept:binary,n_bytes:bigint,n_removed:bigint,n_spans:bigint>"
 
 
-def _cut_udf():
-    kind = pa.struct([("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
+def _cut_udf(text: bool = False):
+    """Cuts spans out of a text; with ``text`` what is kept is text again, without bytes left of a character that a cut goes through."""
+    kind = pa.struct([("kept", pa.string() if text else pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
 
     def run(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         out = []
         for i in range(len(texts)):  # one text at a time, not all of a batch
-            text = texts[i].as_py() or b""
+            whole = texts[i].as_py() or b""
             if not starts[i].is_valid or not len(starts[i]):
-                out.append((text, len(text), 0, 0))
+                out.append((whole, len(whole), 0, 0))
                 continue
             a, b = starts[i].values.to_numpy(), np.maximum.accumulate(ends[i].values.to_numpy())
             new = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
             a, b = a[new], np.append(b[new[1:] - 1], b[-1])
-            kept = b"".join(text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True))
-            out.append((kept, len(text), len(text) - len(kept), len(a)))
-        return pa.StructArray.from_arrays([pa.array(c, kind.field(k).type) for k, c in enumerate(zip(*out, strict=True))], fields=list(kind))
+            kept = b"".join(whole[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(whole)], strict=True))
+            out.append((kept, len(whole), len(whole) - len(kept), len(a)))
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        if text:
+            columns[0] = [x.decode("utf-8", "ignore") for x in columns[0]]
+        return pa.StructArray.from_arrays([pa.array(c, kind.field(k).type) for k, c in enumerate(columns)], fields=list(kind))
 
-    return F.arrow_udf(run, _CUT)
+    return F.arrow_udf(run, _CUT.replace("kept:binary", "kept:string") if text else _CUT)
 
 
 def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -478,14 +482,17 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     ``repeated_spans``) goes; overlaps count, and what is left is not judged again.  A null text is empty.  Texts shorter
     than ``length`` and an empty table have no repeats.  Columns of ``df`` stay inside ``row``, whatever their names.
     """
+    return _cut(df, id_col, text_col, length)
+
+
+def _cut(df: DataFrame, id_col: str, text_col: str, length: int, text: bool = False) -> DataFrame:
     spans = repeated_spans(df, id_col, text_col, length)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _id(id_col), _version(text_col))
-    cut = _cut_udf()(F.col(f"row.`{text_col}`").cast("binary"), F.col("spans.start"), F.col("spans.end"))
+    cut = _cut_udf(text)(F.col(f"row.`{text_col}`").cast("binary"), F.col("spans.start"), F.col("spans.end"))
     return rows.join(spans, ["id", "version"], "left").withColumn("cut", cut).select("row", "cut.*")
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """The rows of ``df`` with repeats cut out of their texts; bytes left of a character that a cut goes through go too."""
-    clean = F.arrow_udf(lambda x: pa.array([b.as_py().decode("utf-8", "ignore") for b in x], pa.string()), "string")
-    done = dedup_bytes(df, id_col, text_col, length)
-    return done.select(*[(clean("kept") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in df.columns])
+    done = _cut(df, id_col, text_col, length, text=True)  # one Python worker a task does both
+    return done.select(*[(F.col("kept") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in df.columns])
