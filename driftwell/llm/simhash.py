@@ -11,7 +11,7 @@ with the corpus, and a tree over all of it prunes little at 64 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -91,8 +91,8 @@ class BKTree:
             todo += [child for k, child in below.items() if d - radius <= k <= d + radius]
 
 
-def _forest(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """Links of a spanning forest of the values within the radius of each other, as pairs of indexes.
+def _forest(values: list[int], radius: int, alike: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
+    """Links of a spanning forest of the values within the radius of each other (and ``alike``), as pairs of indexes.
 
     Each node of the BK-tree knows whether all that is below it was linked when it came; a lookup passes such a subtree by
     once it is linked with it, so a large group of near values costs far less than all its pairs.
@@ -111,7 +111,7 @@ def _forest(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
             if one[0] >= 0 and top(one[0]) == top(i):
                 continue
             d = (values[at] ^ v).bit_count()
-            if d <= radius and (a := top(i)) != (b := top(at)):
+            if d <= radius and (a := top(i)) != (b := top(at)) and (alike is None or alike(i, at)):
                 up[max(a, b)] = min(a, b)
                 yield i, at
             todo += [child for k, child in below.items() if d - radius <= k <= d + radius]
@@ -190,17 +190,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(parts, "fp").select("id", "fp", "component")
 
 
-#: orders of a text's shingles by which it chooses shards, and how many of the first in each order it may choose from
-_ORDERS, _CHOICE = 5, 3
+#: random orders of all shingles; a text's first in each names a shard
+_ORDERS = 10
 #: two texts of similarity 0.8 differ in 10 of 64 bits on average, short ones in 12; strangers in 32
 _WIDE = 22
 _FACTORS = [np.uint64(_hash(b"order %d" % k) | 1) for k in range(_ORDERS)]
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, fp, keys, grams): fingerprint of a text's different shingles, its choice of shards, its shingles' hashes.
+    """(id, fp, keys, grams): fingerprint of a text's different shingles, its shards, its shingles' hashes.
 
-    ``keys`` has the first shingles in each order, ``grams`` the upper halves of all hashes, sorted, as 32-bit integers.
+    ``keys`` has the first shingle in each order, ``grams`` the upper halves of all hashes, sorted, as 32-bit integers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,12 +210,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             for t in b.column(1):
                 h = np.unique(shingle_hashes(t.as_py(), shingle))
                 fps.append(majority(h))
-                first = []
-                for x in _FACTORS:
-                    k = h * x
-                    k = np.sort(np.partition(k, _CHOICE)[:_CHOICE] if len(k) > _CHOICE else k).view(np.int64)
-                    first.append([*k.tolist(), *[None] * (_CHOICE - len(k))])
-                keys.append([k for part in first for k in part])
+                keys.append(np.array([(h * x).min() for x in _FACTORS] if len(h) else [], np.uint64).view(np.int64).tolist())
                 grams.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(grams, pa.binary()),
@@ -235,66 +230,50 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _checked_links(members: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(a, b, home): links of a spanning forest within each shard; b is null where a leads in a ``hot`` shard.
-
-    A hot shard's tree has leaders only: members that are not alike an earlier leader.
-    """
+    """(a, b): links of a spanning forest within each shard, from fingerprints within the radius whose shingles are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lighten()
-        now, tree, kept, up = None, BKTree(), [], []
+        now, nodes, fps, grams = None, [], [], []
 
-        def top(i: int) -> int:
-            while up[i] != i:
-                up[i] = i = up[up[i]]
-            return i
+        def found() -> Iterator[pa.RecordBatch]:
+            pairs = list(_forest(fps, radius, lambda i, j: _alike(grams[i], grams[j], similarity)))
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in pairs], ids) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             for b in pieces([batch]):
-                rows, out = b.to_pydict(), ([], [], [])
-                for shard, home, node, fp, grams, hot in zip(*(rows[c] for c in ("shard", "home", "node", "fp", "grams", "hot")), strict=True):
+                for shard, node, fp, its in zip(*(b.column(c).to_pylist() for c in ("shard", "node", "fp", "grams")), strict=True):
                     if shard != now:
-                        now, tree, kept, up = shard, BKTree(), [], []
-                    fp, grams, me, joined = fp % (1 << 64), np.frombuffer(grams, np.uint32), len(up), False
-                    up.append(me)
-                    for j in tree.within(fp, radius):
-                        other, its, at = kept[j]
-                        if top(me) != top(at) and _alike(grams, its, similarity):
-                            up[top(me)] = top(at)
-                            joined = True
-                            for column, value in zip(out, (node, other, home), strict=True):
-                                column.append(value)
-                    if hot and joined:
-                        continue
-                    tree.add(fp, len(kept))
-                    kept.append((node, grams, me))
-                    if hot:
-                        for column, value in zip(out, (node, None, home), strict=True):
-                            column.append(value)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], ids), pa.array(out[1], ids), pa.array(out[2], pa.int64())], ["a", "b", "home"])
+                        yield from found()
+                        now, nodes, fps, grams = shard, [], [], []
+                    nodes.append(node)
+                    fps.append(fp % (1 << 64))
+                    grams.append(np.frombuffer(its, np.uint32))
+        yield from found()
 
     name = members.schema["node"].dataType.simpleString()
     ids = to_arrow_type(members.schema["node"].dataType)
     return (
-        members.select("shard", "home", "node", "fp", "grams", "hot").repartition(partitions(members.sparkSession), "shard")
-        .sortWithinPartitions("shard", "node").mapInArrow(run, f"a {name}, b {name}, home bigint")
+        members.select("shard", "node", "fp", "grams").repartition(partitions(members.sparkSession), "shard")
+        .sortWithinPartitions("shard", "node").mapInArrow(run, f"a {name}, b {name}")
     )
 
 
 def near_copies(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = _WIDE, hot: int = 1000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = _WIDE, block: int = 1000
 ) -> DataFrame:
     """(id, fp, component): every row, linked with texts whose sets of word shingles have at least this Jaccard similarity.
 
     At this similarity fingerprints differ in more bits than blocks of bits can serve, so shards are named by shingles: in
-    each of five random orders of all shingles a text takes the first of its own that other texts chose too, leaving out
-    what over ``hot`` texts chose while it has another.  Texts of similarity 0.8 miss each other in all five orders once in
-    some 3000 pairs, more alike ones more rarely.  In a shard a BK-tree over the fingerprints of different shingles gives
-    the candidates within ``radius`` bits; a link needs the similarity of the shingles' 32-bit hashes, and pairs that are
-    joined already are passed over.  A text with hot shingles only is dealt, by a hash, to as many parts of its
-    shard as keep it small; in such a part later texts meet the leaders only (texts not alike an earlier leader), and
-    leaders of all parts meet once more.  A chain of copies may be cut there if it runs through followers alone.
+    each of ten random orders of all shingles by the first of a text's own.  Texts of similarity 0.8 miss each other in all
+    ten orders once in ten million pairs, more alike ones more rarely, whatever the size of a shard.  Shards of the same
+    texts (two near copies mostly share eight or more) are looked at once.  In a shard a BK-tree over the fingerprints of
+    different shingles gives the candidates within ``radius`` bits; a link needs the similarity of the shingles' 32-bit
+    hashes, and subtrees that are joined already are passed over.
+
+    A shard of more than ``block`` texts is dealt by a hash into parts of about that many, and every two parts meet in a
+    task of their own, so all its pairs are looked at while a task holds two parts.
 
     Rows with equal fingerprints are one node, so copies cost one row; texts without words are copies of each other.  Rows
     with one id are one document.  A row with a null id links nothing and has the component of the rows with its
@@ -304,30 +283,26 @@ def near_copies(
     nodes = written(
         prints.groupBy("fp").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "keys"))).alias("n")).select("fp", F.col("n.id").alias("node"), "n.keys")
     )
-    keyed = nodes.where("node is not null").select("fp", "node", F.posexplode("keys").alias("at", "key")).where("key is not null").selectExpr(
-        "fp", "node", f"at div {_CHOICE} as way", f"at % {_CHOICE} as place", "key")
-    common = keyed.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1")
-    chosen = keyed.join(common, ["way", "key"]).groupBy("fp", "node").agg(
-        F.collect_list(F.struct((F.col("n") > hot).alias("hot"), "place", "way", "key", "n")).alias("found")
-    ).select("fp", F.col("node").alias("id"), F.expr(
-        f"filter(transform(sequence(0, {_ORDERS - 1}), w -> array_min(filter(found, x -> x.way = w))), x -> x is not null)").alias("shards"))
+    keyed = nodes.where("node is not null").select("fp", "node", F.posexplode("keys").alias("way", "key"))
+    shards = keyed.groupBy("way", "key").agg(
+        F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(k), "fp", "node")).alias(f"texts{k}") for k in range(2)]
+    ).where("n > 1").groupBy("n", "texts0", "texts1").agg(F.min(F.struct("way", "key")).alias("s")).select("s.way", "s.key", "n")
+    chosen = keyed.join(shards, ["way", "key"]).groupBy("fp", "node").agg(F.collect_list(F.struct(
+        F.xxhash64("way", "key").alias("home"), F.ceil(F.col("n") / block).alias("parts"))).alias("shards")).withColumnRenamed("node", "id")
     members = written(prints.select("id", "fp", "grams").join(chosen, ["id", "fp"]).dropDuplicates(["id", "fp"]).withColumnRenamed("id", "node"))
     ids = written(prints.select("id", "fp"))
     drop(prints)  # its hashes are half as large as the texts
     placed = members.select("node", "fp", "grams", F.explode("shards").alias("s")).select(
-        "node", "fp", "grams", "s.hot", F.xxhash64("s.way", "s.key").alias("home"), F.when(
-            F.col("s.hot"), F.pmod(F.xxhash64(F.lit("part"), "node"), F.ceil(F.col("s.n") / hot))).otherwise(0).alias("part"))
-    once = written(_checked_links(placed.withColumn("shard", F.xxhash64("home", "part")), radius, similarity))
-    leaders = once.where("b is null").selectExpr("a as node", "home")
-    again = written(_checked_links(placed.where("hot").join(leaders, ["node", "home"]).withColumn("shard", F.col("home")), radius, similarity))
+        "node", "fp", "grams", "s.home", "s.parts", F.pmod(F.xxhash64(F.lit("part"), "fp", "node"), "s.parts").alias("part")
+    ).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).where("parts = 1 or other <> part")
+    found = written(_checked_links(placed.withColumn("shard", F.xxhash64("home", F.least("part", "other"), F.greatest("part", "other"))), radius, similarity))
     drop(members)
-    roots = connected_components(once.union(again).where("b is not null").select("a", "b").union(
+    roots = connected_components(found.union(
         # fingerprints of one id are one document
         ids.where("id is not null").join(nodes.select("fp", "node"), "fp").where("id <> node").select("id", "node")
         .join(nodes.select(F.col("node").alias("id")), "id", "left_semi").distinct()
     ))
-    for table in (once, again):
-        drop(table)
+    drop(found)
     parts = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
     return ids.join(parts, "fp").select("id", "fp", "component")
 

@@ -277,8 +277,8 @@ def variants(rng, base, n, changes):
     return out
 
 
-@pytest.mark.parametrize("hot", [1000, 4])
-def test_near_copies_against_an_exact_join(spark, hot):
+@pytest.mark.parametrize("block", [1000, 4])
+def test_near_copies_against_an_exact_join(spark, block):
     import random
 
     rng = random.Random(7)
@@ -294,6 +294,20 @@ def test_near_copies_against_an_exact_join(spark, hot):
     rows += [(at + i, passage + " " + " ".join(f"own{i}x{j}" for j in range(100))) for i in range(30)]
     df = clashing(spark.createDataFrame(rows, "doc_id bigint, text string"), "fp", "node", "id", "component", "keys", "grams", "hot")
     want = sorted(zip([i for i, _ in rows], plain_copies(rows), strict=True), key=repr)
-    got = sorted(((r.id, r.component) for r in simhash.near_copies(df, hot=hot).collect()), key=repr)
+    got = sorted(((r.id, r.component) for r in simhash.near_copies(df, block=block).collect()), key=repr)
     assert got == want
     assert simhash.near_copies(df.limit(0)).count() == 0
+
+
+def test_near_copies_keep_chains_in_large_shards(spark):
+    """One passage in every text, and a chain in which only neighbours are alike, dealt over many small parts."""
+    words = [f"w{i}" for i in range(600)]
+    chain = [" ".join(words[12 * i : 12 * i + 250]) for i in range(25)]
+    passage = " ".join(f"shared{i}" for i in range(400))
+    alone = [passage + " " + " ".join(f"own{i}x{j}" for j in range(400)) for i in range(60)]
+    rows = list(enumerate(chain + alone))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = list(zip(range(len(rows)), plain_copies(rows), strict=True))
+    assert [c for _, c in want[:25]] == [0] * 25 and [c for _, c in want[25:]] == list(range(25, 85))
+    for block in (3, 1000):
+        assert sorted((r.id, r.component) for r in simhash.near_copies(df, block=block).collect()) == want
