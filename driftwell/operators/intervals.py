@@ -21,13 +21,28 @@ def numbered(snapshots: DataFrame) -> DataFrame:
 def intervals(files: DataFrame, numbers: DataFrame) -> DataFrame:
     """(path, hash, first, last) of files (timestamp, path, hash): a new interval starts where the hash changes or a snapshot is missed.
 
-    Two null hashes are equal.  One exchange, by path; snapshots that have no number are left out.
+    Two null hashes are equal.  One exchange and one sort, by path; snapshots that have no number are left out.
     """
     by_path = Window.partitionBy("path").orderBy("n")
     rows = files.where("path is not null").join(F.broadcast(numbers), "timestamp").select("path", "hash", "n")
-    same = F.col("hash").eqNullSafe(F.lag("hash").over(by_path)) & (F.lag("n").over(by_path) == F.col("n") - 1)
-    started = rows.withColumn("starts", (~F.coalesce(same, F.lit(False))).cast("bigint"))
-    return started.withColumn("island", F.sum("starts").over(by_path)).groupBy("path", "island").agg(F.any_value("hash").alias("hash"), F.min("n").alias("first"), F.max("n").alias("last")).select("path", "hash", "first", "last")
+    apart = lambda other, step: ~F.coalesce(F.col("hash").eqNullSafe(other("hash").over(by_path)) & (other("n").over(by_path) == F.col("n") + step), F.lit(False))
+    ends = rows.select("*", apart(F.lag, -1).alias("starts"), apart(F.lead, 1).alias("ends")).where("starts or ends")
+    last = F.when(F.col("ends"), F.col("n")).otherwise(F.lead("n").over(by_path))
+    return ends.withColumn("last", last).where("starts").select("path", "hash", F.col("n").alias("first"), "last")
+
+
+def of_changes(changes: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The intervals of a history told by its changes (timestamp, path, hash): a file stays as it is until a later snapshot brings it anew.
+
+    What ``intervals`` says of the files of all snapshots, without making them: a row for each change is sorted, not one
+    for each file of each snapshot.  Changes that lie by path already are not exchanged.
+    """
+    by_path = Window.partitionBy("path").orderBy("timestamp")
+    newest = numbers.select("timestamp", "n", F.max("n").over(Window.partitionBy()).alias("newest"))  # a row a snapshot
+    rows = changes.where("path is not null").join(F.broadcast(newest), "timestamp")
+    same = F.col("hash").eqNullSafe(F.lag("hash").over(by_path)) & F.lag("n").over(by_path).isNotNull()
+    starts = rows.withColumn("same", same).where("not same")
+    return starts.select("path", "hash", F.col("n").alias("first"), F.coalesce(F.lead("n").over(by_path) - 1, F.col("newest")).alias("last"))
 
 
 def extended(known: DataFrame, added: DataFrame, n: int) -> DataFrame:
