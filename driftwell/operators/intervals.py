@@ -74,24 +74,29 @@ def counts(history: DataFrame) -> DataFrame:
     return history.groupBy("path").agg(F.countDistinct("hash").alias("versions"), F.sum(F.col("last") - F.col("first") + 1).alias("appearances"))
 
 
-def labelled(history: DataFrame) -> DataFrame:
+def labelled(history: DataFrame, dealt: bool = False) -> DataFrame:
     """(path, hash, first, last, version): a path's hashes numbered by first appearance; a null hash is ``?``.
 
-    A hash that comes back has its old label.
+    A hash that comes back has its old label.  Other columns come along.  A history whose rows lie by path (``dealt``), as
+    ``intervals`` and ``of_changes`` leave them, is not exchanged again.
     """
     start = F.min("first").over(Window.partitionBy("path", "hash"))
     number = F.dense_rank().over(Window.partitionBy("path", F.col("hash").isNull()).orderBy("start"))
-    rows = history.repartition("path").withColumn("start", start)
-    return rows.select("path", "hash", "first", "last", F.when(F.col("hash").isNull(), "?").otherwise(F.concat(F.lit("v"), number.cast("string"))).alias("version"))
+    rows = (history if dealt else history.repartition("path")).withColumn("start", start)
+    return rows.select(*history.columns, F.when(F.col("hash").isNull(), "?").otherwise(F.concat(F.lit("v"), number.cast("string"))).alias("version"))
 
 
-def versions(history: DataFrame, numbers: DataFrame) -> DataFrame:
+def versions(history: DataFrame, numbers: DataFrame, dealt: bool = False) -> DataFrame:
     """(path, timestamp, version) of every appearance, from labels of intervals."""
-    rows = labelled(history).select("path", "version", F.explode(F.sequence("first", "last")).alias("n"))
+    rows = labelled(history, dealt).select("path", "version", F.explode(F.sequence("first", "last")).alias("n"))
     return rows.join(F.broadcast(numbers), "n").select("path", "timestamp", "version")
 
 
-def transitions(history: DataFrame) -> DataFrame:
-    """(path, first, last, version, changed): whether an interval's newest appearance differs from the one after it; all its other ones do not."""
-    after = F.lead("version").over(Window.partitionBy("path").orderBy("first"))
-    return labelled(history).select("path", "first", "last", "version", ((F.col("version") != "?") & ~F.col("version").eqNullSafe(after)).alias("changed"))
+def transitions(history: DataFrame, dealt: bool = False) -> DataFrame:
+    """(path, first, last, version, changed): whether an interval's newest appearance differs from the one after it; all its other ones do not.
+
+    A path's labels are equal where its hashes are, so hashes are compared, before any row has a label.
+    """
+    after = F.lead("hash").over(Window.partitionBy("path").orderBy("first"))
+    rows = (history if dealt else history.repartition("path")).withColumn("changed", F.col("hash").isNotNull() & ~F.col("hash").eqNullSafe(after))
+    return labelled(rows, True).select("path", "first", "last", "version", "changed")

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwell.operators import intervals, migrate, snapshots
+from driftwell.plans import durable
+from driftwell.sources import tables
 from driftwell.sources.commits import Folder, Version, VersionedTable
 from driftwell.streaming import polling, publish
 
@@ -282,6 +284,36 @@ def test_intervals_are_the_history(spark):
     assert same(grown.select("path", "hash", "first", "last"), history)
 
 
+def test_intervals_of_changes_need_no_files(spark):
+    r, stamps = random.Random(4), [f"2026-01-{d:02d}" for d in range(1, 15)]
+    changes = [(s, f"p{p}", r.choice(["a", "b", None])) for s in stamps for p in range(12) if r.random() < 0.3] + [(stamps[0], None, "x"), (stamps[-1], "late", "a")]
+    state, files = {}, []
+    for s in stamps:
+        state |= {path: h for t, path, h in changes if t == s and path}
+        files += [(s, path, h) for path, h in state.items()]
+    schema = "timestamp string, path string, hash string"
+    numbers = intervals.numbered(spark.createDataFrame([(s, "p", "h") for s in stamps], schema))
+    want = intervals.intervals(spark.createDataFrame(files, schema), numbers)
+    got = intervals.of_changes(spark.createDataFrame(changes, schema), numbers)
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert key(got) == key(want) and got.columns == want.columns
+    for dealt in (False, True):
+        assert key(intervals.transitions(got, dealt)) == key(intervals.transitions(want)) and key(intervals.versions(got, numbers, dealt)) == key(snapshots.versions(spark.createDataFrame(files, schema)).select("path", "timestamp", "version"))
+
+
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(path" in line]
+
+
+@pytest.mark.parametrize("name", ["w01_intervals", "a22_interval_counts", "w01_interval_versions", "w02_interval_transitions"])
+def test_a_task_has_a_bounded_number_of_changes(spark, sf_dir, monkeypatch, name):
+    """Tasks go by rows, not by compressed bytes; a path's windows share one exchange, and no file of each snapshot is made on the way."""
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 500)
+    want = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 500)
+    [line] = exchanges(durable.QUERIES[name](spark, sf_dir))
+    assert want > 4 and f", {want}), REPARTITION_BY_NUM" in line
+
+
 # ---- migration
 
 
