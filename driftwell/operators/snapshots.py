@@ -34,14 +34,16 @@ def diff_lines(changes: DataFrame, before: DataFrame, after: DataFrame) -> DataF
     return compared.union(changes.where("change = 'unchanged'").select("path", "change", F.lit(0).cast("bigint"), F.lit(0).cast("bigint")))
 
 
-def versions(files: DataFrame) -> DataFrame:
+def versions(files: DataFrame, dealt: bool = False) -> DataFrame:
     """(path, timestamp, version): versions number a path's hashes by first appearance (ties by hash); null hashes have none.
 
-    Rows that repeat are kept; null paths take no part.  Both windows use one exchange by path.
+    Rows that repeat are kept; null paths take no part.  Both windows use one exchange by path, and none if the rows lie
+    by path already (``dealt``).
     """
     first = F.min("timestamp").over(Window.partitionBy("path", "hash"))
     number = F.dense_rank().over(Window.partitionBy("path", F.col("hash").isNull()).orderBy("first", "hash"))
-    return files.where("path is not null").repartition("path").withColumn("first", first).select("path", "timestamp", F.when(F.col("hash").isNull(), "?").otherwise(F.concat(F.lit("v"), number.cast("string"))).alias("version"))
+    rows = files.where("path is not null")
+    return (rows if dealt else rows.repartition("path")).withColumn("first", first).select("path", "timestamp", F.when(F.col("hash").isNull(), "?").otherwise(F.concat(F.lit("v"), number.cast("string"))).alias("version"))
 
 
 def history_counts(files: DataFrame) -> DataFrame:

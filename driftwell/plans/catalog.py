@@ -79,7 +79,7 @@ QUERIES = {
     "j05_restore_plan": lambda s, d: snapshots.restore_plan(t.manifest(s, d).where("rel_path is not null").select(F.col("rel_path").alias("path"), F.col("synced_hash").alias("hash")), t.blobs(s, d)[1]),
     "j11_snapshot_diff": lambda s, d: snapshots.diff(t.snapshot_files(s, d), "1995-03", "1995-04"),
     "j13_as_of": lambda s, d: snapshots.as_of(t.snapshots(s, d), _targets(s, d)),
-    "w01_version_labels": lambda s, d: snapshots.versions(t.snapshot_files(s, d)),
+    "w01_version_labels": lambda s, d: snapshots.versions(t.snapshot_files(s, d), dealt=True),
     "w03_retention_keep": lambda s, d: snapshots.keep_set(t.snapshots(s, d), **_POLICY),
     "w04_prune": lambda s, d: snapshots.prune(t.snapshots(s, d), **_POLICY),
     "a22_history_counts": lambda s, d: snapshots.history_counts(t.snapshot_files(s, d)),

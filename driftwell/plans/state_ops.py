@@ -154,7 +154,7 @@ QUERIES = {
     "a28_listing_totals": lambda s, d: tree.totals(t.remote_files(s, d)),
     "a29_quarantine_alerts": lambda s, d: manifest.quarantine_alerts(t.manifest_remotes(s, d)),
     "a31_seed_counts": lambda s, d: manifest.seed_counts(manifest.seed_plan(t.manifest(s, d), t.manifest_remotes(s, d), t.local_files(s, d), "sftp")),
-    "w02_transitions": lambda s, d: snapshots.transitions(snapshots.versions(t.snapshot_files(s, d))),
+    "w02_transitions": lambda s, d: snapshots.transitions(snapshots.versions(t.snapshot_files(s, d), dealt=True)),
     "w07_forget_before": lambda s, d: snapshots.forget(t.snapshots(s, d).select(F.concat("timestamp", F.lit("T00-00-00Z")).alias("timestamp"), "tag"), before="1995-05-01T00-00-00Z"),
     "w07_keep_last": lambda s, d: snapshots.forget(t.snapshots(s, d), keep_last=400),
     "w08_forget_named": lambda s, d: snapshots.forget(t.snapshots(s, d), timestamps=["1995-01-01", "1995-01-02", "2222"]),

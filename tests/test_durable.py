@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwell.operators import intervals, migrate, snapshots
-from driftwell.plans import durable
+from driftwell.plans import catalog, durable, state_ops
 from driftwell.sources import tables
 from driftwell.sources.commits import Folder, Version, VersionedTable
 from driftwell.streaming import polling, publish
@@ -305,12 +305,12 @@ def exchanges(df):
     return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(path" in line]
 
 
-@pytest.mark.parametrize("name", ["w01_intervals", "a22_interval_counts", "w01_interval_versions", "w02_interval_transitions"])
+@pytest.mark.parametrize("name", ["w01_intervals", "a22_interval_counts", "w01_interval_versions", "w02_interval_transitions", "w02_transitions", "w01_version_labels"])
 def test_a_task_has_a_bounded_number_of_changes(spark, sf_dir, monkeypatch, name):
     """Tasks go by rows, not by compressed bytes; a path's windows share one exchange, and no file of each snapshot is made on the way."""
     monkeypatch.setattr(tables, "ROWS_A_TASK", 500)
     want = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 500)
-    [line] = exchanges(durable.QUERIES[name](spark, sf_dir))
+    [line] = exchanges((catalog.QUERIES | state_ops.QUERIES | durable.QUERIES)[name](spark, sf_dir))
     assert want > 4 and f", {want}), REPARTITION_BY_NUM" in line
 
 
