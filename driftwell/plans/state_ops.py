@@ -97,7 +97,7 @@ QUERIES = {
     "s23_full_files": lambda s, d: json_files.full_files(t.snapshot_files(s, d).select("timestamp", F.when(F.col("path") == "p1/f1", "_snapshot_meta.json").otherwise(F.col("path")).alias("path"), F.md5("path").alias("id"), F.when(F.length("path") > 5, F.length("path")).alias("size"))).select("timestamp", "path", "id", F.col("size").cast("bigint").alias("size")),
     "s24_identifiers": lambda s, d: snapshots.at_time(t.snapshot_files(s, d), "1995-04"),
     "s25_blob_bodies": lambda s, d: snapshots.bodies(_docs(s, d).select(F.sha2("text", 256).alias("h")), t.stored_blobs(s, d).where("backend = 'drive'").groupBy(F.col("name").alias("h")).agg(F.max("content").alias("content"))).select("h", F.col("content").isNotNull().alias("stored")),
-    "s26_log_files": lambda s, d: json_files.sync_log(t.log_texts(s, d).select("text")).select("machine", "ord", "user", "timestamp", "action", F.array_join("files", "|").alias("files"), F.size("auto_resolved_files").cast("bigint").alias("resolved")),
+    "s26_log_files": lambda s, d: json_files.sync_log_parts(t.log_texts(s, d), "machine", "part").select("machine", "ord", "user", "timestamp", "action", F.array_join("files", "|").alias("files"), F.size("auto_resolved_files").cast("bigint").alias("resolved")),
     "s27_messages": lambda s, d: json_files.events(t.sync_events(s, d).select(F.when(F.col("ord") % 9 == 0, "no json").otherwise(F.to_json(F.struct("user", F.when(F.col("ord") % 4 > 0, F.col("machine")).alias("machine"), F.date_format("ts", "yyyy-MM-dd").alias("timestamp"), "files", "action"))).alias("text"))).groupBy("user", "machine", "timestamp", "action").agg(F.count("*").alias("events")),
     "s29_envelopes": lambda s, d: json_files.envelopes(_docs(s, d).select(F.when(F.col("doc_id") % 6 == 0, "[]").otherwise(F.to_json(F.struct(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("local_text"), F.when(F.col("doc_id") % 5 > 0, "r").alias("remote_text"), (F.col("doc_id") % 3).alias("version")))).alias("text"))).select("path", "local_text", "remote_text"),
     "s31_frozen_view": lambda s, d: snapshots.frozen_view(t.snapshot_files(s, d), t.snapshot_files(s, d).select("hash").distinct().where("hash < 'c'").select("hash", F.length("hash").cast("bigint").alias("size")), "1995-04"),

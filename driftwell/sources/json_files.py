@@ -7,7 +7,7 @@ such files, for callers that must not go on without them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions import rules
@@ -109,6 +109,21 @@ def sync_log(texts: DataFrame, text_col: str = "text", most: int = EVENT_FILES)
     return texts.select(*rest, F.posexplode(parsed["events"]).alias("ord", "e")).where("e is not null").select(*rest, F.col("ord").cast("bigint").alias("ord"), *_event("e", most))
 
 
+def sync_log_parts(texts: DataFrame, log_col: str, part_col: str, text_col: str = "text", most: int = EVENT_FILES) -> DataFrame:
+    """``sync_log`` of logs that are stored in parts: ``ord`` is an event's place in its whole log, parts in their order, nulls first.
+
+    A part is parsed in one task, a log is not; only the parts' lengths meet by log.  A log has a part once; its own column
+    is left out, as events name their machine.
+    """
+    n = F.coalesce(F.size(F.from_json(text_col, "events array<string>")["events"]), F.lit(0)).cast("bigint")
+    earlier = Window.partitionBy("_log").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = texts.select(F.col(log_col).alias("_log"), F.col(part_col).alias("_part"), F.greatest(n, F.lit(0)).alias("n"))
+    starts = lengths.select("_log", "_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    placed = texts.join(starts, F.col(log_col).eqNullSafe(F.col("_log")) & F.col(part_col).eqNullSafe(F.col("_part"))).drop("_log", "_part")
+    kept = placed.withColumnsRenamed({c: f"_{c}" for c in (log_col, part_col)})
+    return sync_log(kept, text_col, most).withColumn("ord", F.col("ord") + F.col("_before")).drop("_before").withColumnRenamed(f"_{part_col}", part_col).drop(f"_{log_col}")
+
+
 def events(lines: DataFrame, text_col: str = "text", most: int = EVENT_FILES) -> DataFrame:
     """A row for each message with an event; others, and those that lack a user, machine or time, are left out."""
     e = lines.select(*[c for c in lines.columns if c != text_col], F.from_json(text_col, EVENT).alias("e")).where("e.user is not null and e.machine is not null and e.timestamp is not null")

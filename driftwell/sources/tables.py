@@ -152,11 +152,11 @@ def manifest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("text")
 
 
-def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(machine, text): a stored log for each machine, with a field nobody knows."""
+def log_texts(spark: SparkSession, sf_dir: str, span: int = 1000) -> DataFrame:
+    """(machine, part, text): a stored log for each machine, in parts of the events of ``span`` numbers each, with a field nobody knows."""
     e = F.struct("ord", "user", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "machine", "files", "action", F.lit("notes").alias("project"), F.lit(1).alias("future"))
-    logs = sync_events(spark, sf_dir).groupBy("machine").agg(F.sort_array(F.collect_list(e)).alias("events"))
-    return logs.select("machine", F.to_json(F.struct("events")).alias("text"))
+    logs = sync_events(spark, sf_dir).groupBy("machine", F.floor(F.col("ord") / span).alias("part")).agg(F.sort_array(F.collect_list(e)).alias("events"))
+    return logs.select("machine", "part", F.to_json(F.struct("events")).alias("text"))
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

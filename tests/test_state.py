@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwell.operators import checks, log, manifest, snapshots, tree
-from driftwell.sources import json_files, scan
+from driftwell.sources import json_files, scan, tables
 from driftwell.streaming import feed
 
 
@@ -50,6 +50,15 @@ def test_logs_caches_inboxes_envelopes(spark):
     assert len(back) == 1 and back[0].path == "a/b" and back[0].local_hash == hashlib.sha256(b"mine\n").hexdigest() and "-theirs\n+mine\n" in back[0].unified_diff
 
 
+def test_a_log_in_parts_is_one_log(spark, sf_dir):
+    log = lambda *users: json.dumps({"events": [u and {"user": u, "machine": "m", "timestamp": "t"} for u in users]})
+    parts = [("a", 2, log("a4")), ("a", 1, log("a1", None, "a3")), ("a", 0, "{"), ("a", None, log("a0")), ("b", 7, log("b0", "b1")), (None, 1, log("n1")), (None, 0, log("n0"))]
+    rows = json_files.sync_log_parts(spark.createDataFrame(parts, "name string, part bigint, text string"), "name", "part")
+    assert sorted((r.user, r.ord) for r in rows.collect()) == [("a0", 0), ("a1", 1), ("a3", 3), ("a4", 4), ("b0", 0), ("b1", 1), ("n0", 0), ("n1", 1)]
+    stored = tables.log_texts(spark, sf_dir, span=100).select("machine", F.size(F.from_json("text", "events array<string>")["events"]).alias("n")).collect()
+    assert max(r.n for r in stored) <= 100 and len(stored) > len({r.machine for r in stored})  # no whole log in one task
+
+
 def test_snapshot_notes_that_cannot_be_read_stay(spark):
     notes = spark.createDataFrame([("t1", '{"tag": "", "total_files": 2}'), ("t2", "{"), ("t3", None)], "timestamp string, text string")
     got = {r.timestamp: (r.total_files, r.tag, r.action) for r in json_files.snapshot_catalogue(notes, notes.limit(0)).collect()}
