@@ -7,8 +7,11 @@ rules' regexes are tried on those.  Rules without any literal are filed under th
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,25 +24,56 @@ _LENGTHS = (8, 4, 2, 1)
 BROADCAST_BYTES = 16 << 20
 
 
+#: Rules, or paths, a task gets where they are parsed, or joined by the piece.
+ROWS_A_TASK = 25_000
+#: Buckets in which pieces are counted: how common a piece is only decides where a rule is filed, so buckets may be shared.
+_BUCKETS = 1 << 18
+
+
+def _tasks(*counts: int) -> int:
+    return max(1, *(-(-n // ROWS_A_TASK) for n in counts))
+
+
+def _parsed(b: pd.DataFrame) -> Iterator[tuple]:
+    """(ord, (negated, folder, rx), pieces) of a batch's rules."""
+    for ord_, line in zip(b["ord"], b["line"]):
+        rule = rules.ignore_regex(line) if line is not None else None
+        if rule:
+            runs = rules.literal_runs(line)
+            n = next((n for n in _LENGTHS if n <= max(map(len, runs), default=0)), 0)
+            yield ord_, rule, sorted({r[i : i + n] for r in runs for i in range(len(r) - n + 1)}) if n else [""]
+
+
+def _bucket(piece: str) -> int:
+    return zlib.crc32(piece.encode("utf-8", "surrogatepass")) % _BUCKETS
+
+
 def compiled(lines: DataFrame, ord_col: str = "ord", line_col: str = "line") -> DataFrame:
-    """(ord, negated, folder, rx, piece) of rule lines (ord, line): each rule once, under one piece.  Blanks, comments and over-long lines are no rules."""
+    """(ord, negated, folder, rx, piece) of rule lines (ord, line): each under one piece.  Blanks, comments and over-long lines are no rules.
+
+    The pieces of all rules are counted first, in buckets whose number is fixed; a rule then picks its rarest by itself, so
+    rules are never gathered by a piece that many of them hold.
+    """
+    rows = lines.select(F.col(ord_col).cast("bigint").alias("ord"), F.col(line_col).alias("line"))
+    rows = rows.repartition(_tasks(rows.count()))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = Counter(_bucket(p) for b in batches for *_, pieces in _parsed(b) for p in pieces)
+        yield pd.DataFrame({"bucket": list(n.keys()), "n": list(n.values())}, dtype="int64")
+
+    found = rows.mapInPandas(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most _BUCKETS rows
+    common = np.zeros(_BUCKETS, np.int64)
+    if found:
+        common[[r["bucket"] for r in found]] = [r["n"] for r in found]
+    shared = lines.sparkSession.sparkContext.broadcast(common)
+
+    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = shared.value
         for b in batches:
-            out = []
-            for ord_, line in zip(b["ord"], b["line"]):
-                rule = rules.ignore_regex(line) if line is not None else None
-                if rule:
-                    runs = rules.literal_runs(line)
-                    n = next((n for n in _LENGTHS if n <= max(map(len, runs), default=0)), 0)
-                    pieces = sorted({r[i : i + n] for r in runs for i in range(len(r) - n + 1)}) if n else [""]
-                    out.append((ord_, *rule, pieces))
-            yield pd.DataFrame(out, columns=["ord", "negated", "folder", "rx", "pieces"])
-
-    rows = lines.select(F.col(ord_col).cast("bigint").alias("ord"), F.col(line_col).alias("line")).mapInPandas(parse, "ord bigint, negated boolean, folder boolean, rx string, pieces array<string>")
-    each = rows.select("ord", "negated", "folder", "rx", F.explode("pieces").alias("piece"))
-    common = each.groupBy("piece").agg(F.count("*").alias("n"))
-    return each.join(common, "piece").groupBy("ord", "negated", "folder", "rx").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+            out = [(ord_, *rule, min(pieces, key=lambda p: (n[_bucket(p)], p))) for ord_, rule, pieces in _parsed(b)]
+            yield pd.DataFrame(out, columns=["ord", "negated", "folder", "rx", "piece"])
+
+    return rows.mapInPandas(file, "ord bigint, negated boolean, folder boolean, rx string, piece string")
 
 
 def many_ignored(paths: DataFrame, lines: DataFrame, path_col: str = "rel_path") -> DataFrame:
@@ -48,8 +82,7 @@ def many_ignored(paths: DataFrame, lines: DataFrame, path_col: str = "rel_path")
     The work grows with the paths' lengths and the rules that share a piece with a path, not with paths times rules.
     """
     found = compiled(lines)
-    about = found.agg(F.coalesce(F.sum(F.length("rx") + 40), F.lit(0)).alias("bytes"), F.collect_set(F.length("piece")).alias("lengths")).first()  # at most five lengths
-    small = F.broadcast(found) if about["bytes"] <= BROADCAST_BYTES else found
+    about = found.agg(F.count("*").alias("rules"), F.coalesce(F.sum(F.length("rx") + 40), F.lit(0)).alias("bytes"), F.collect_set(F.length("piece")).alias("lengths")).first()  # at most five lengths
     known = paths.where(F.col(path_col).isNotNull()).select(F.col(path_col).alias("path")).distinct()
     bare = F.ltrim("path", F.lit("/"))
     # a pattern's end may stand before a line's end, so such a path is also asked about without it
@@ -59,5 +92,10 @@ def many_ignored(paths: DataFrame, lines: DataFrame, path_col: str = "rel_path")
     asked = known.withColumn("whole", whole)
     grams = asked.select("path", bare.alias("bare"), F.explode(F.array_distinct(F.concat(*cut))).alias("piece")) if cut else asked.limit(0).select("path", bare.alias("bare"), F.lit("").alias("piece"))
     hit = F.expr("case when folder then regexp_extract(bare, rx, 1) <> '' else bare rlike rx end")
-    last = grams.join(small, "piece").where(hit).groupBy("path").agg(F.max_by("negated", "ord").alias("negated"))
+    if about["bytes"] <= BROADCAST_BYTES:
+        asked_of = grams.join(F.broadcast(found), "piece")
+    else:
+        n = _tasks(about["rules"], paths.count())
+        asked_of = grams.repartition(n, "piece").join(found.repartition(n, "piece"), "piece")
+    last = asked_of.where(hit).groupBy("path").agg(F.max_by("negated", "ord").alias("negated"))
     return known.join(last, "path", "left").select(F.col("path").alias(path_col), F.coalesce(~F.col("negated"), F.lit(False)).alias("ignored"))

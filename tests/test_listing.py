@@ -136,3 +136,15 @@ def test_lines_of_backends_and_reports(spark):
     rows = spark.createDataFrame([("a", "ok", ""), ("b", "unsupported", ""), ("c", "warn", "")], "name string, status string, detail string")
     worst = lambda *parts: {x.name: (x.status, x.detail) for x in checks.report([*parts]).collect()}["overall"]
     assert worst(rows) == ("warn", "3 checks") and worst(rows.limit(0)) == ("ok", "0 checks") and worst(rows, rows.selectExpr("name", "'fail' as status", "detail")) == ("fail", "6 checks")
+
+
+def test_rules_are_filed_without_meeting_by_piece(spark, monkeypatch):
+    """A piece that all rules hold gathers none of them: no exchange by piece, tasks by the number of rules; each rule is under a rarer one."""
+    monkeypatch.setattr(rule_index, "ROWS_A_TASK", 10)
+    lines = spark.range(60).select(F.col("id").alias("ord"), F.concat(F.lit("/src1/en/d"), (F.col("id") + 100000).cast("string"), F.lit("*.md")).alias("line"))
+    found = rule_index.compiled(lines)
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString() and found.rdd.getNumPartitions() == 6
+    assert sorted(r.ord for r in found.collect()) == list(range(60)) and not {"/src1/en", "src1/en/"} & {r.piece for r in found.collect()}
+    monkeypatch.setattr(rule_index, "BROADCAST_BYTES", 0)
+    paths = spark.createDataFrame([("src1/en/d100007x.md",), ("src1/en/d200000.md",)], "rel_path string")
+    assert dict(map(tuple, rule_index.many_ignored(paths, lines).collect())) == {"src1/en/d100007x.md": True, "src1/en/d200000.md": False}
