@@ -186,15 +186,18 @@ class VersionedTable:
 
         return self._commit(touched, merged, True, transaction)
 
-    def add(self, rows: DataFrame, transaction: tuple[str, int] | None = None) -> Version:
+    def add(self, rows: DataFrame, transaction: tuple[str, int] | None = None, unique: bool = False) -> Version:
         """Publishes the table with those of ``rows`` whose key is not in it, one of each key; stored shards are not rewritten.
 
-        Only stored keys are read.  If there is nothing to add there is no new version.
+        Only stored keys are read.  If there is nothing to add there is no new version.  Rows that have a key once
+        (``unique``) are shuffled by it only where stored keys are to be left out.
         """
         touched = self._touched(rows)
 
         def fresh(base: Version) -> DataFrame:
-            return rows.dropDuplicates([self.key]).join(self.read(base, touched).select(self.key), self.key, "left_anti").select(*self.schema.names)
+            once = rows if unique else rows.dropDuplicates([self.key])
+            stored = touched & base.shards.keys()
+            return (once.join(self.read(base, touched).select(self.key), self.key, "left_anti") if stored else once).select(*self.schema.names)
 
         return self._commit(touched, fresh, False, transaction)
 

@@ -338,6 +338,25 @@ def test_snapshots_there_and_back(spark, tmp_path):
         migrate.to_full(lists.read(), lost, migrate.full_copies(spark, f"{root}/new"))
 
 
+def test_bodies_are_shuffled_no_more_than_needed(spark, tmp_path, monkeypatch):
+    """Copies are dealt by their hash once and by shard once; a migration that finds everything there touches no body."""
+    root, plans = f"file://{tmp_path}", []
+    blobs, lists, full = migrate.blob_store(spark, root, 4), migrate.blob_lists(spark, root, 4), migrate.full_copies(spark, root, 4)
+    stage = VersionedTable._stage
+    monkeypatch.setattr(VersionedTable, "_stage", lambda self, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stage(self, df))
+    monkeypatch.setattr(VersionedTable, "_touched", lambda self, df: {str(i) for i in range(4)})
+    copies = spark.createDataFrame([(f"t{i % 2}", f"p{i}", b"%d" % (i % 3)) for i in range(8)] + [("t0", "p0", b"0")], "timestamp string, path string, content binary")
+    migrate.to_blobs(copies, blobs, lists)
+    migrate.to_full(lists.read(), blobs.read(), full)
+    assert full.read().count() == 8 and blobs.read().count() == 3
+    first = plans[-1]
+    assert "Aggregate [entry" not in first.split("Join LeftOuter")[0] and "LeftAnti" not in first
+    migrate.to_blobs(copies, blobs, lists)
+    migrate.to_full(lists.read(), blobs.read(), full)
+    assert all("content" not in p or "LocalRelation <empty>" in p for p in (plans[-3], plans[-1]))
+    assert full.version().number == blobs.version().number == lists.version().number == 1
+
+
 @pytest.mark.parametrize("count", [None, 20, 100_000_000_000])
 def test_the_filter_never_calls_a_stored_hash_new(spark, count):
     hashes = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
