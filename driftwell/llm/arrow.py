@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 #: What Python workers keep from task to task, as functions that let go of it; an operator that needs none of it calls ``lighten``.
@@ -34,6 +35,17 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
+def blocks(batches: Iterator[pa.RecordBatch], column: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts in a column are ``size`` bytes at most, or one row that is longer."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, size + (ends[i - 1] if i else 0), "right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables in which no key is cut in two; the input must be sorted by the key, without nulls in it."""
     kept: list[pa.RecordBatch] = []

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow import binary_list, pieces
+from .arrow import binary_list, blocks
 from .shared import partitions
 from .tokens import encoder
 
@@ -37,8 +37,8 @@ def write_tokens(
         from pyspark import TaskContext
 
         part, before, enc, end = TaskContext.get().partitionId(), 0, encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in pieces(batches):
-            ids = [enc.one(t) + end for t in b.column(1).to_pylist()]
+        for b in blocks(batches, 1):
+            ids = [x + end for x in enc.many(b.column(1))]
             counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             first = before + np.cumsum(counts) - counts
             before += int(counts.sum())

@@ -6,11 +6,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from common import DOCS, TEXTS, VOCABULARY, clashing, docs, tokenizer
 
 from driftwell.llm import bpe, packing, token_files
+from driftwell.llm.arrow import blocks
 from driftwell.llm.tokens import Encoder
 
 PIECES = ["a", "the ", " cat", "  ", "\n", "\t", "'s", "'ll", "é", "日本", "1", "23", "!", "...", "#", " ", "👍", "<|endoftext|>", "\r\n", "ing", "   x", "Zz"]
@@ -52,6 +54,52 @@ def test_odd_white_space_whatever_the_memo_holds():
             fast._known.clear()  # empty for the next text, ever fuller for the nine after it
 
 
+@pytest.mark.parametrize("memo", [50, 600_000])
+def test_columns_of_texts_agree_with_the_library(memo):
+    t, rng, fast = tokenizer(), random.Random(7), Encoder(VOCABULARY, memo=memo)
+    pool = TEXTS + mixed(600, 3) + [spaced(rng) for _ in range(10_000)]
+    want = {x: ids_of(t, x or "") for x in pool}
+    for size in [0, 1, 2, 5, 300] * 8:
+        texts = rng.choices(pool, k=size + 2)
+        assert fast.many(pa.array(texts, pa.string()).slice(2)) == [want[x] for x in texts[2:]]
+    for text in TEXTS:
+        assert fast.many(pa.array([text], pa.string())) == [want[text]]
+    assert fast.many(pa.array(pool, pa.string())) == [want[x] for x in pool]
+    assert [fast.one(x) for x in pool] == [want[x] for x in pool]
+
+
+def test_parts_of_many_texts_are_looked_up_and_learned_together(monkeypatch):
+    fast, calls, looked = Encoder(VOCABULARY), [], []
+    encode = fast._ids
+    monkeypatch.setattr(fast, "_ids", lambda text: calls.append(text) or encode(text))
+
+    class Counted(dict):
+        def get(self, part):
+            looked.append(part)
+            return super().get(part)
+
+    fast._known = Counted()
+    texts = [f"the same few words and quux{i}yz here" for i in range(1000)]
+    got = fast.many(pa.array(texts))
+    assert len(calls) <= 4  # 1006 different parts, not 1000 texts
+    assert len(looked) == len(set(looked)) == 1006
+    assert got == [ids_of(tokenizer(), x) for x in texts[:1]] + [fast.one(x) for x in texts[1:]]
+
+
+def test_memo_stays_within_its_bound_in_one_odd_text():
+    fast = Encoder(VOCABULARY, memo=50)
+    text = "two  spaces " + " ".join(f"quux{i}yz" for i in range(1000))
+    assert b"".join(fast._loose(text)) == ids_of(tokenizer(), text)
+    assert len(fast._known) <= 52
+
+
+def test_blocks_are_cut_by_bytes():
+    texts = ["é" * 30, None, "", "a" * 500, "b" * 40, "c" * 40, "d" * 40]
+    batches = [pa.record_batch([pa.array(range(7)), pa.array(texts)], ["id", "text"]).slice(i, n) for i, n in ((0, 0), (0, 7), (4, 3))]
+    got = [b.column(0).to_pylist() for b in blocks(iter(batches), 1, 100)]
+    assert got == [[0, 1, 2], [3], [4, 5], [6], [4, 5], [6]]
+
+
 def test_stream_in_small_chunks_is_the_whole_text():
     t = tokenizer()
     for size in (1, 7, 613, 5000):
