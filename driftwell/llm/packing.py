@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import pieces
+from .arrow import blocks
 from .tokens import encoder
 
 CAPACITY = 1024
@@ -114,10 +114,10 @@ def pack(
             number += 1
 
         kinds = None
-        for b in pieces(batches):
+        for b in blocks(batches, 1):
             kinds = kinds or [b.schema.field(0).type, *[pa.int64()] * 2, pa.binary(), *[pa.int64()] * 3]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = enc.one(text) + end
+            for doc, ids in zip(b.column(0).to_pylist(), enc.many(b.column(1)), strict=True):
+                ids += end
                 total = len(ids) // 4
                 whole = total // capacity * capacity
                 for start in range(0, whole, capacity):
@@ -126,11 +126,11 @@ def pack(
                         yield out()
                 if whole < total:
                     rest.put((doc, whole, ids[4 * whole :], total))
-            if rest.size >= pool:
-                while rest.size > pool // 2 and rest.tokens >= capacity:
-                    close(rest.sequence())
-                if done:
-                    yield out()
+                if rest.size >= pool:
+                    while rest.size > pool // 2 and rest.tokens >= capacity:
+                        close(rest.sequence())
+                    if len(done) >= 1024:
+                        yield out()
         while rest.size:
             close(rest.sequence())
             if len(done) >= 1024:
